@@ -70,13 +70,19 @@ def untimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 101 != 0, F.col("ts")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores. The given table is one file with one row group, hence one task; a topic comes in many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def rfc3339(ts: str) -> F.Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a JSON message, purchases twice; some are damaged, the first matching rule applies."""
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     sent = e.select("*", F.lit(0).cast("bigint").alias("again")).unionByName(
         e.where(F.col("event_type") == "purchase").select(
             *[c for c in e.columns if c != "value"],
@@ -135,7 +141,7 @@ def message_folder(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 def documents(spark: SparkSession, sf_dir: str, forms: list[F.Column]) -> DataFrame:
     """``(event_id, value)``: one document per event whose field ``v`` takes the forms in turn."""
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     n = len(forms)
     chosen = F.when(F.col("event_id") % n == 0, forms[0])
     for i, form in enumerate(forms[1:], start=1):

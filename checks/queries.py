@@ -146,7 +146,7 @@ def q_json_paths(spark, sf):
     e = fx.events(spark, sf)
     value = F.concat(
         F.lit('{"a":{"b":{"k":'), F.col("event_id").cast("string"),
-        F.lit('},"b":null},"list":[{"b":1}],"x.y":5,"it\'s":'), F.col("user_id").cast("string"), F.lit("}"),
+        F.lit('},"c":null},"list":[{"b":1}],"x.y":5,"it\'s":'), F.col("user_id").cast("string"), F.lit("}"),
     )
     docs = e.select("event_id", payloads.parse_document(value).alias("doc"))
     return docs.select(
@@ -311,7 +311,7 @@ def q_topic_to_lake(spark, sf):
     drain(
         lambda: topic_to_lake(
             read_message_files(spark, topic, max_files=4), fx.MAPPING, f"{folder}/lake", f"{folder}/checkpoint",
-            rejects=f"{folder}/rejects", day_of="occurred_at", drain=True,
+            rejects=f"{folder}/rejects", day_of="occurred_at", rebalance=True, drain=True,
         )
     )
     return naive(read_lake(spark, f"{folder}/lake").select(*fx.MAPPING.columns))

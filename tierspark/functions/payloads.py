@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The accepted shapes of whole numbers and of RFC 3339 times with an offset.
+# The accepted shapes of whole numbers and, in upper case, of RFC 3339 times with an offset.
 WHOLE_NUMBER = r"^[+-]?[0-9]+\z"
-RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
+RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
 
 
 def parse_document(payload: Column) -> Column:
@@ -83,14 +83,13 @@ def double_text(number: Column) -> Column:
 
 def to_text(field: Column, kind: Column) -> Column:
     """Strings as they are, JSON null as the text ``null``, anything else as JSON text."""
-    number = F.try_variant_get(field, "$", "double")
-    unsigned = (kind == "DECIMAL(19,0)") | (kind == "DECIMAL(20,0)")
-    in_range = number.between(-9.223372036854775807e18, 1.8446744073709551615e19)
+    text, number = F.try_variant_get(field, "$", "string"), F.try_variant_get(field, "$", "double")
+    # Whole numbers above 63 but within 64 bits keep their digits.
+    unsigned = kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)") & number.between(0, 2.0**64)
     return (
-        F.when(kind == "VOID", F.lit("null"))
-        .when(unsigned & in_range, F.try_variant_get(field, "$", "string"))
-        .when(_fractional(kind), double_text(number))
-        .otherwise(F.try_variant_get(field, "$", "string"))
+        F.when(_fractional(kind), F.when(unsigned, text).otherwise(double_text(number)))
+        .when(kind == "VOID", F.lit("null"))
+        .otherwise(text)
     )
 
 
@@ -98,7 +97,7 @@ def to_bigint(field: Column, kind: Column) -> Column:
     """A JSON integer in 64 bits, or a string of digits with an optional sign."""
     text = F.try_variant_get(field, "$", "string")
     return F.when(kind == "BIGINT", F.try_variant_get(field, "$", "bigint")).when(
-        (kind == "STRING") & text.rlike(WHOLE_NUMBER), text.try_cast("bigint")
+        kind == "STRING", F.when(text.rlike(WHOLE_NUMBER), text.try_cast("bigint"))
     )
 
 
@@ -113,9 +112,12 @@ def to_boolean(field: Column, kind: Column) -> Column:
 
 
 def to_instant(field: Column, kind: Column) -> Column:
-    """An RFC 3339 string with an offset; a plain cast would also take dates and times without one."""
-    text = F.try_variant_get(field, "$", "string")
-    return F.when((kind == "STRING") & text.rlike(RFC3339), F.upper(text).try_cast("timestamp"))
+    """An RFC 3339 string with an offset; a plain cast would also take dates and times without one.
+
+    No other kind of value has a text of this shape, so the kind need not be looked at.
+    """
+    text = F.upper(F.try_variant_get(field, "$", "string"))
+    return F.when(text.rlike(RFC3339), text.try_cast("timestamp"))
 
 
 # Declared type names, their Spark type and their coercion. Any other name means text.

@@ -98,8 +98,8 @@ def map_messages(messages: DataFrame, mapping: Mapping) -> DataFrame:
     )
     faults = [F.when(~F.col("_whole"), F.lit(MALFORMED))]
     for i, f in enumerate(mapping.fields):
-        faults.append(F.when(F.col(f"_missing{i}"), F.lit(f"{f.column}: path {f.path} not found")))
-        faults.append(F.when(quoted(f.column).isNull(), F.lit(f"{f.column}: not a {f.type}")))
+        fault = F.when(F.col(f"_missing{i}"), F.lit(f"{f.column}: path {f.path} not found"))
+        faults.append(F.when(quoted(f.column).isNull(), fault.otherwise(F.lit(f"{f.column}: not a {f.type}"))))
     return typed.select(
         *[quoted(c) for c in mapping.columns], *carried, F.coalesce(*faults).alias("reject_reason")
     )

@@ -111,9 +111,8 @@ def _deep_page(df: DataFrame, order: list[Key], limit: int, offset: int, direct_
     rows = df
     while offset + limit > direct_rows and low < high:
         width = -(-(high - low + 1) // BUCKETS)
-        bucket = F.floor(rank) if width == 1 else _floor_div(rank, width)
         counts = sorted(
-            rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(),
+            rows.groupBy(_floor_div(rank, width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(),
             reverse=first.descending,
         )
         while counts[0].n <= offset:
@@ -122,17 +121,21 @@ def _deep_page(df: DataFrame, order: list[Key], limit: int, offset: int, direct_
         while counts and seen < offset + limit:
             seen += counts[0].n
             needed.append(counts.pop(0))
-        if width == 1 and len(needed) > 1 and offset + limit > direct_rows:
-            # The page starts deep inside one value and runs into the next ones: two pages.
-            head, size = needed[0].b, needed[0].n - offset
-            ends = sorted((needed[1].b, needed[-1].b))
-            alone, rest = _between(df, first.column, head, head), _between(df, first.column, *ends)
-            return page(alone, order, size, offset, direct_rows).unionByName(
-                page(rest, order, limit - size, 0, direct_rows)
+
+        def ranges(buckets: list) -> DataFrame:
+            values = [c.b for c in buckets]
+            return _between(
+                df, first.column, max(low, min(values) * width), min(high, (max(values) + 1) * width - 1)
+            )
+
+        if offset + limit > direct_rows and len(needed) > 1:
+            # The page starts deep inside one range and runs into the next ones: two pages.
+            size = needed[0].n - offset
+            return page(ranges(needed[:1]), order, size, offset, direct_rows).unionByName(
+                page(ranges(needed[1:]), order, limit - size, 0, direct_rows)
             )
-        values = [c.b for c in needed]
-        low, high = max(low, min(values) * width), min(high, (max(values) + 1) * width - 1)
-        rows = _between(df, first.column, low, high)
+        rows = ranges(needed)
+        low, high = max(low, needed[0].b * width), min(high, (needed[0].b + 1) * width - 1)
     if offset + limit > direct_rows and len(order) > 1:
         # One value of this column holds more rows than can be skipped directly: go on with the next.
         return _deep_page(rows, order[1:], limit, offset, direct_rows)
