@@ -83,13 +83,9 @@ def rfc3339(ts: str) -> F.Column:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a JSON message, purchases twice; some are damaged, the first matching rule applies."""
     e = spread(events(spark, sf_dir))
-    sent = e.select("*", F.lit(0).cast("bigint").alias("again")).unionByName(
-        e.where(F.col("event_type") == "purchase").select(
-            *[c for c in e.columns if c != "value"],
-            (F.col("value") + 1).alias("value"),
-            F.lit(RESENT).cast("bigint").alias("again"),
-        )
-    )
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    again = F.when(F.col("event_type") == "purchase", F.array(zero, one)).otherwise(F.array(zero))
+    sent = e.select("*", F.explode(again).alias("again")).withColumn("value", F.col("value") + F.col("again"))
     n = F.col("event_id")
     by = lambda k: n % k == 0
     first = F.when(by(97), 97).when(by(89), 89).when(by(83), 83).when(by(79), 79).when(by(73), 73)
@@ -128,7 +124,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.withColumn("body", body).select(
         payload.alias("value"),
         (n % 4).cast("int").alias("partition"),
-        (n + F.col("again")).alias("offset"),
+        (n + F.col("again") * RESENT).alias("offset"),
     )
 
 

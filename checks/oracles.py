@@ -220,6 +220,11 @@ SELECT event_id, user_id, event_type,
        CASE WHEN ts > TIMESTAMP '2024-01-17 00:00:00' THEN value + 1 ELSE value END AS value, ts,
        CASE WHEN ts > TIMESTAMP '2024-01-24 00:00:00' THEN TIMESTAMP '2024-01-31 00:00:00' ELSE ts END AS synced_at
 FROM events
+""",
+    "upsert_small_batch": """
+SELECT event_id, user_id, event_type,
+       CASE WHEN ts > TIMESTAMP '2024-01-30 00:00:00' THEN value + 1 ELSE value END AS value, ts, ts AS synced_at
+FROM events
 """,
     "upsert_key_only": """
 SELECT user_id, min(ts) FILTER (WHERE event_type = 'signup') AS first_seen FROM events GROUP BY user_id

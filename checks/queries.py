@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from checks import fixtures as fx
 from tierspark.functions import payloads
 from tierspark.functions.display import binary_to_string
-from tierspark.operators.changes import apply_changes, change_cursor, delete_by_key, latest_per_key, upsert
+from tierspark.operators.changes import apply_changes, change_cursor, delete_by_key, latest_per_key, upsert, upsert_batch
 from tierspark.operators.lineage import lineage_edges, lineage_layers, lineage_nodes, lineage_subgraph
 from tierspark.operators.mapping import accepted, map_messages, reject_counts, rejected
 from tierspark.operators.retention import prune, pruned_count
@@ -20,7 +20,7 @@ from tierspark.operators.status import job_status
 from tierspark.operators.views import column_view, describe_result
 from tierspark.plans.paging import page_summary, table_page, tiered_page
 from tierspark.plans.tiers import age_window, tier_counts, tier_coverage, tiered_read, time_range
-from tierspark.session import shared_folder
+from tierspark.session import shared_folder, written
 from tierspark.sources.change_feed import change_feed_range
 from tierspark.sources.stores import read_lake
 from tierspark.sources.topics import read_message_files
@@ -257,6 +257,14 @@ def q_upsert_merge(spark, sf):
     return upsert(fx.stored_events(spark, sf), changes, "event_id", defaults={"synced_at": F.lit("2024-01-31")})
 
 
+def q_upsert_small_batch(spark, sf):
+    """The last day sent again: few changes, looked up from the target instead of shuffling it."""
+    late = fx.resent_events(spark, sf).where(F.col("ts") > F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
+    changes = latest_per_key(late, "event_id", ["sent"]).drop("sent")
+    target = fx.events(spark, sf).select(*fx.EVENT_COLUMNS, F.col("ts").alias("synced_at"))
+    return upsert_batch(target, changes, "event_id")
+
+
 def q_upsert_key_only(spark, sf):
     e = fx.events(spark, sf)
     first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("first_seen"))
@@ -363,7 +371,7 @@ def q_lineage_edges(spark, sf):
 
 def _layers(spark, sf):
     connections, jobs, views = fx.lineage_parts(spark, sf)
-    edges = lineage_edges(connections, jobs, views)
+    edges = written(lineage_edges(connections, jobs, views), shared_folder(spark, "edges"))
     return lineage_layers(lineage_nodes(edges, jobs, views), edges), edges
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tierspark.operators.changes import apply_changes, change_cursor, delete_by_key, final_changes, latest_per_key, upsert
+from tierspark.operators.changes import apply_changes, change_cursor, delete_by_key, final_changes, latest_per_key, upsert, upsert_batch
 from tierspark.sources.change_feed import change_feed_range
 
 FEED = "k int, v string, _change_type string, _commit_version bigint"
@@ -51,6 +51,22 @@ def test_upsert_of_an_unknown_column(spark):
         upsert(spark.range(1), spark.range(1).selectExpr("id", "1 x"), "id")
 
 
+def test_a_large_batch_is_not_broadcast(spark):
+    target = spark.range(100).selectExpr("id k", "id v", "id kept")
+    changes = spark.range(50, 150).selectExpr("id k", "-id v")
+    want = sorted(map(tuple, upsert(target, changes, "k").collect()), key=str)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in ("10", limit):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = upsert_batch(target, changes, "k")
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("Broadcast" in plan) == (threshold == limit)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_delete(spark):
     got = delete_by_key(spark.range(5).selectExpr("id k", "id v"), spark.createDataFrame([(1,), (1,), (9,)], "k int"), "k")
     assert sorted(r.k for r in got.collect()) == [0, 2, 3, 4]
@@ -87,6 +103,10 @@ def test_change_feed_matches_a_replay(spark, seed):
     new = {"s": F.lit("new")}
     whole = apply_changes(start, df, ["k", "v"], "k", defaults=new)
     assert sorted(map(tuple, whole.collect())) == replay(target, feed)
+    small = apply_changes(start, df, ["k", "v"], "k", defaults=new, batch=True)
+    assert sorted(map(tuple, small.collect())) == replay(target, feed)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     steps = start
     for last, current in ((-1, 3), (3, 3), (3, 8), (8, 11)):
         steps = apply_changes(steps, change_feed_range(df, last, current), ["k", "v"], "k", defaults=new)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierspark.functions.names import quoted
+from tierspark.session import is_small, shared_folder, written
 
 # Change types of a change feed that carry a new state. Old images and unknown types do not.
 WRITES = ("insert", "update_postimage")
@@ -46,17 +47,71 @@ def upsert(
     over. If the key is the only common column, existing rows stay as they are.
 
     One full outer join, so each side is shuffled once by key, or not at all if it is already
-    bucketed by key. Keys are unique on both sides, so no key is hot here.
+    bucketed by key. Keys are unique on both sides, so no key is hot here. For a small batch of
+    changes see :func:`upsert_batch`.
     """
-    defaults = dict(defaults or {})
-    flags = {c for c in (deleted, reset) if c}
-    mapped = [c for c in changes.columns if c not in flags]
+    mapped, defaults = _mapped(target, changes, deleted, reset), dict(defaults or {})
+    t, c = _sides(target, changes, key)
+    return _merged(target, t.join(c, F.col("_tk") == F.col("_ck"), "full_outer"), mapped, defaults, deleted, reset)
+
+
+def upsert_batch(
+    target: DataFrame,
+    changes: DataFrame,
+    key: str,
+    defaults: Named[str, Column] | None = None,
+    deleted: str | None = None,
+    reset: str | None = None,
+) -> DataFrame:
+    """The same for a batch of changes that may be small next to the target.
+
+    The changes are written first, which shows their size. If they are small enough to broadcast, the
+    target is changed where it lies, without a shuffle: each row looks up its change, and the new
+    rows are those changes whose key a second, key-only scan of the target does not meet. Otherwise
+    both sides are shuffled as in :func:`upsert`.
+    """
+    changes = written(changes, shared_folder(changes.sparkSession, "changes"))
+    if not is_small(changes):
+        return upsert(target, changes, key, defaults, deleted, reset)
+    mapped = _mapped(target, changes, deleted, reset)
+    t, c = _sides(target, changes, key)
+    met = t.select("_tk").join(F.broadcast(c.select("_ck")), F.col("_tk") == F.col("_ck"), "left_semi")
+    old = t.join(F.broadcast(c), F.col("_tk") == F.col("_ck"), "left")
+    # The keys met are no more than the changes, hence as small.
+    new = c.join(F.broadcast(met), F.col("_tk") == F.col("_ck"), "left_anti")
+    nothing = F.lit(None)
+    new = new.select(
+        nothing.cast(t.schema["_t"].dataType).alias("_t"), nothing.cast(t.schema["_tk"].dataType).alias("_tk"), "_c", "_ck"
+    )
+    return _merged(target, old.unionByName(new), mapped, dict(defaults or {}), deleted, reset)
+
+
+def _mapped(target: DataFrame, changes: DataFrame, deleted: str | None, reset: str | None) -> list[str]:
+    """The columns the changes set."""
+    mapped = [c for c in changes.columns if c not in (deleted, reset)]
     for column in mapped:
         if column not in target.columns:
             raise ValueError(f"column {column!r} not found in the target")
-    t = target.select(F.struct("*").alias("_t"), quoted(key).alias("_tk"))
-    c = changes.select(F.struct("*").alias("_c"), quoted(key).alias("_ck"))
-    joined = t.join(c, F.col("_tk") == F.col("_ck"), "full_outer")
+    return mapped
+
+
+def _sides(target: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides as one struct and the key each."""
+    return (
+        target.select(F.struct("*").alias("_t"), quoted(key).alias("_tk")),
+        changes.select(F.struct("*").alias("_c"), quoted(key).alias("_ck")),
+    )
+
+
+def _merged(
+    target: DataFrame,
+    joined: DataFrame,
+    mapped: list[str],
+    defaults: Named[str, Column],
+    deleted: str | None,
+    reset: str | None,
+) -> DataFrame:
+    """The target's columns out of matched and unmatched pairs."""
     hit, old, new = F.col("_ck").isNotNull(), F.col("_t"), F.col("_c")
     fresh = F.col("_tk").isNull()
     if reset:
@@ -112,9 +167,11 @@ def apply_changes(
     mapped: Sequence[str],
     key: str,
     defaults: Named[str, Column] | None = None,
+    batch: bool = False,
 ) -> DataFrame:
-    """``target`` after a range of a change feed."""
-    return upsert(
+    """``target`` after a range of a change feed; ``batch`` as in :func:`upsert_batch`."""
+    change = upsert_batch if batch else upsert
+    return change(
         target, final_changes(feed, mapped, key), key, defaults=defaults, deleted="_deleted", reset="_reset"
     )
 

@@ -48,3 +48,9 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage and gives the optimizer the real size."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a written table is small enough to send to every executor, by the session's own limit."""
+    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit

@@ -26,27 +26,27 @@ def _start(
     return writer.start()
 
 
-def _split(
-    batch: DataFrame,
-    batch_id: int,
-    mapping: Mapping,
-    rejects: str | None,
-    write: Callable[[DataFrame], None],
-) -> None:
-    """Map one batch; hand on the accepted rows and keep the rejected messages.
+def _mapped_batches(
+    messages: DataFrame, mapping: Mapping, rejects: str | None, write: Callable[[DataFrame, int], None]
+) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
+    """The mapped stream, and what to do with each of its batches.
 
-    The mapped batch is kept while both are written, so messages are parsed once.
+    Messages are mapped in the stream's own plan, which is built once. A batch of which the rejected
+    messages are kept as well is held while both are written, so messages are parsed once.
     """
-    mapped = map_messages(batch, mapping)
+    mapped = map_messages(messages, mapping)
     if rejects is None:
-        write(accepted(mapped, mapping))
-        return
-    mapped = mapped.persist()
-    try:
-        write(accepted(mapped, mapping))
-        rejected(mapped).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
-    finally:
-        mapped.unpersist()
+        return accepted(mapped, mapping), write
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            write(accepted(batch, mapping), batch_id)
+            rejected(batch).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return mapped, each
 
 
 def topic_to_lake(
@@ -80,10 +80,8 @@ def topic_to_lake(
             out = out.partitionBy("day")
         out.parquet(f"{lake.rstrip('/')}/batch_id={batch_id}")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        _split(batch, batch_id, mapping, rejects, lambda rows: write(rows, batch_id))
-
-    return _start(messages, each, checkpoint, drain, interval, name)
+    stream, each = _mapped_batches(messages, mapping, rejects, write)
+    return _start(stream, each, checkpoint, drain, interval, name)
 
 
 def topic_to_table(
@@ -98,16 +96,11 @@ def topic_to_table(
 ) -> StreamingQuery:
     """Upsert accepted messages into a keyed table (see :mod:`tierspark.streaming.keyed_log`)."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        _split(
-            batch,
-            batch_id,
-            mapping,
-            rejects,
-            lambda rows: append_batch(message_changes(rows), mapping, table, batch_id),
-        )
-
-    return _start(messages, each, checkpoint, drain, interval, name)
+    def write(rows: DataFrame, batch_id: int) -> None:
+        append_batch(message_changes(rows), mapping, table, batch_id)
+
+    stream, each = _mapped_batches(messages, mapping, rejects, write)
+    return _start(stream, each, checkpoint, drain, interval, name)
 
 
 def changes_to_table(
