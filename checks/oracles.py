@@ -257,6 +257,26 @@ SELECT c_custkey AS job, coalesce(phase, 'Missing') AS phase, date_trunc('second
 FROM customer LEFT JOIN observed ON c_custkey = job
 """,
     "lineage_edges": LINEAGE + "SELECT src, dst FROM edges",
+    "lineage_nodes": """
+WITH customers AS (
+  SELECT 'C' || c_custkey AS own, 'N' || c_nationkey AS home, 'R' || n_regionkey AS conn, c_acctbal < 0 AS stray, c_custkey
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+tables AS (
+  SELECT conn, home AS name FROM customers
+  UNION SELECT conn, own FROM customers WHERE NOT stray
+  UNION SELECT conn, own FROM customers JOIN orders ON o_custkey = c_custkey),
+observed AS (
+  SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN 'error' ELSE event_type END, ts) AS phase,
+         coalesce(max(ts) FILTER (WHERE event_type <> 'error') > TIMESTAMP '2024-01-30 23:59:00', false) AS alive
+  FROM events GROUP BY user_id)
+SELECT 'table:' || conn || ':' || name AS node, 'table' AS kind, name, conn AS connection,
+       CAST(NULL AS BOOLEAN) AS alive, CAST(NULL AS VARCHAR) AS phase FROM tables
+UNION ALL
+SELECT 'sync:' || own, 'sync', own, NULL, alive, phase FROM customers LEFT JOIN observed ON user_id = c_custkey
+UNION ALL
+SELECT 'projection:O' || o_orderkey, 'projection', 'O' || o_orderkey, NULL, NULL, NULL
+FROM orders JOIN customers ON o_custkey = c_custkey
+""",
     "lineage_layers": LINEAGE + "SELECT node, layer FROM layers",
     "lineage_subgraph": SUBGRAPH
     + """

@@ -369,10 +369,18 @@ def q_lineage_edges(spark, sf):
     return lineage_edges(*fx.lineage_parts(spark, sf))
 
 
+def q_lineage_nodes(spark, sf):
+    connections, jobs, views = fx.lineage_parts(spark, sf)
+    reports = fx.reports(spark, sf).withColumn("job", F.concat(F.lit("C"), F.col("job")))
+    wanted = reports.select("job").distinct()
+    status = job_status(wanted, reports, datetime(2024, 1, 30, 23, 59, 30))
+    return lineage_nodes(connections, jobs, views, status)
+
+
 def _layers(spark, sf):
     connections, jobs, views = fx.lineage_parts(spark, sf)
     edges = written(lineage_edges(connections, jobs, views), shared_folder(spark, "edges"))
-    return lineage_layers(lineage_nodes(edges, jobs, views), edges), edges
+    return lineage_layers(lineage_nodes(connections, jobs, views), edges), edges
 
 
 def q_lineage_layers(spark, sf):

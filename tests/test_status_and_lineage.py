@@ -68,11 +68,16 @@ def test_edges_and_nodes(spark):
         ("table:lake:raw", "sync:s2"),
         ("table:pg:events", "projection:v1"),
     ]
-    nodes = lineage_nodes(edges, jobs, views)
+    nodes = lineage_nodes(connections, jobs, views)
     assert sorted(r.node for r in nodes.collect()) == [
         "projection:v1", "projection:v2", "projection:v3", "sync:s1", "sync:s2", "sync:s3",
         "table:lake:raw", "table:pg:events",
     ]
+    status = spark.createDataFrame([("s1", True, "running"), ("gone", False, "error")], "job string, alive boolean, phase string")
+    known = {r.node: tuple(r)[1:] for r in lineage_nodes(connections, jobs, views, status).collect()}
+    assert known["sync:s1"] == ("sync", "s1", None, True, "running")
+    assert known["sync:s2"] == ("sync", "s2", None, None, None)
+    assert known["table:lake:raw"] == ("table", "raw", "lake", None, None) and len(known) == 8
     layers = {r.node: r.layer for r in lineage_layers(nodes, edges).collect()}
     assert layers["projection:v1"] == 3 and layers["sync:s3"] == layers["sync:s1"] == layers["projection:v3"] == 0
     around, among = lineage_subgraph(lineage_layers(nodes, edges), edges, "sync:s1")

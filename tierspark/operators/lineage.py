@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierspark.session import shared_folder, written
 
 
-def _table(connection: str, name: str):
-    return F.concat(F.lit("table:"), F.col(connection), F.lit(":"), F.col(name))
+def _id(kind: str, *parts: str) -> Column:
+    return F.concat_ws(":", F.lit(kind), *[F.col(p) for p in parts])
+
+
+def _links(connections: DataFrame, jobs: DataFrame, views: DataFrame) -> DataFrame:
+    """Every use of a table by a job or view: ``(connection, table, user, reads)``.
+
+    A table without a name or on an unknown connection is left out. All uses go through one semi join,
+    where a connection that holds most of the tables can be split.
+    """
+    job, view = _id("sync", "name"), _id("projection", "name")
+    read = jobs.select("source_connection", "source_name", job, F.lit(True))
+    write = jobs.select("target_connection", "target_name", job, F.lit(False))
+    shown = views.select(F.explode("sources").alias("s"), view.alias("user")).select(
+        "s.connection", "s.table", "user", F.lit(True)
+    )
+    uses = read.union(write).union(shown).toDF("connection", "table", "user", "reads")
+    known = connections.select(F.col("name").alias("connection"))
+    return uses.where(F.length("table") > 0).join(known, "connection", "left_semi")
 
 
 def lineage_edges(connections: DataFrame, jobs: DataFrame, views: DataFrame) -> DataFrame:
@@ -17,45 +34,41 @@ def lineage_edges(connections: DataFrame, jobs: DataFrame, views: DataFrame) ->
 
     ``jobs`` has ``name, source_connection, source_name, target_connection, target_name``; ``views``
     has ``name`` and ``sources``, an array of ``(connection, table)``. A table without a name or on a
-    connection that is not in ``connections(name)`` gives no edge. All edges go through one semi
-    join, where a connection that holds most of the tables can be split.
+    connection that is not in ``connections(name)`` gives no edge.
     """
-    job = F.concat(F.lit("sync:"), F.col("name"))
-    view = F.concat(F.lit("projection:"), F.col("name"))
-    reads = jobs.select(
-        F.col("source_connection").alias("connection"),
-        F.col("source_name").alias("table"),
-        _table("source_connection", "source_name").alias("src"),
-        job.alias("dst"),
+    table = _id("table", "connection", "table")
+    return _links(connections, jobs, views).select(
+        F.when(F.col("reads"), table).otherwise(F.col("user")).alias("src"),
+        F.when(F.col("reads"), F.col("user")).otherwise(table).alias("dst"),
     )
-    writes = jobs.select(
-        F.col("target_connection").alias("connection"),
-        F.col("target_name").alias("table"),
-        job.alias("src"),
-        _table("target_connection", "target_name").alias("dst"),
-    )
-    shown = views.select("name", F.explode("sources").alias("s")).select("name", "s.connection", "s.table").select(
-        "connection", "table", _table("connection", "table").alias("src"), view.alias("dst")
-    )
-    every = reads.unionByName(writes).unionByName(shown)
-    known = connections.select(F.col("name").alias("connection"))
-    return every.where(F.length("table") > 0).join(known, "connection", "left_semi").select("src", "dst")
 
 
-def lineage_nodes(edges: DataFrame, jobs: DataFrame, views: DataFrame) -> DataFrame:
-    """Every job, view and connected table once: ``(node, kind)``."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").startswith("table:"))
+def lineage_nodes(
+    connections: DataFrame, jobs: DataFrame, views: DataFrame, status: DataFrame | None = None
+) -> DataFrame:
+    """Every job, view and connected table once: ``(node, kind, name, connection, alive, phase)``.
+
+    ``connection`` is set for tables; ``alive`` and ``phase`` for jobs that ``status`` (see
+    :func:`tierspark.operators.status.job_status`) knows.
+    """
+    no_text, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    tables = _links(connections, jobs, views).select("connection", "table").distinct()
+    work = jobs.select("name")
+    if status is None:
+        work = work.select("name", no_flag.alias("alive"), no_text.alias("phase"))
+    else:
+        work = work.join(status.select(F.col("job").alias("name"), "alive", "phase"), "name", "left")
     return (
-        ends.distinct()
-        .select("node", F.lit("table").alias("kind"))
-        .unionByName(
-            jobs.select(F.concat(F.lit("sync:"), F.col("name")).alias("node"), F.lit("sync").alias("kind"))
-        )
-        .unionByName(
-            views.select(
-                F.concat(F.lit("projection:"), F.col("name")).alias("node"), F.lit("projection").alias("kind")
-            )
+        tables.select(
+            _id("table", "connection", "table").alias("node"),
+            F.lit("table").alias("kind"),
+            F.col("table").alias("name"),
+            "connection",
+            no_flag.alias("alive"),
+            no_text.alias("phase"),
         )
+        .union(work.select(_id("sync", "name"), F.lit("sync"), "name", no_text, "alive", "phase"))
+        .union(views.select(_id("projection", "name"), F.lit("projection"), "name", no_text, no_flag, no_text))
     )
 
 
@@ -88,7 +101,7 @@ def lineage_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         rounds.append(path)
     visits = spark.read.schema(frontier.schema).parquet(*rounds)
-    deepest = visits.groupBy("node").agg(F.max("layer").alias("layer"))
+    deepest = written(visits.groupBy("node").agg(F.max("layer").alias("layer")), f"{folder}/layers")
     unsettled = names.join(deepest, "node", "left_anti")
     if not unsettled.isEmpty():
         raise ValueError("lineage has a cycle: some nodes cannot be reached from a start")

@@ -131,9 +131,10 @@ def _deep_page(df: DataFrame, order: list[Key], limit: int, offset: int, direct_
         if offset + limit > direct_rows and len(needed) > 1:
             # The page starts deep inside one range and runs into the next ones: two pages.
             size = needed[0].n - offset
-            return page(ranges(needed[:1]), order, size, offset, direct_rows).unionByName(
+            both = page(ranges(needed[:1]), order, size, offset, direct_rows).unionByName(
                 page(ranges(needed[1:]), order, limit - size, 0, direct_rows)
             )
+            return both.orderBy(*[k.order() for k in order]).limit(limit)
         rows = ranges(needed)
         low, high = max(low, needed[0].b * width), min(high, (needed[0].b + 1) * width - 1)
     if offset + limit > direct_rows and len(order) > 1:
