@@ -65,19 +65,20 @@ def _fractional(kind: Column) -> Column:
 def double_text(number: Column) -> Column:
     """Shortest decimal text of a double: plain digits from 1e-5 up to 1e16, a small ``e`` beyond.
 
-    Spark writes plain digits only from 1e-3 to 1e7; between the two, a decimal of enough digits
-    is written and its trailing zeros are cut.
+    Older JVMs sometimes write digits too many. Longer texts are therefore rounded to 15, 16 and 17
+    digits, and the first that reads back as the same number is taken.
     """
     text, size = number.cast("string"), F.abs(number)
-
-    def plain(decimal: str) -> Column:
-        return F.regexp_replace(number.try_cast(decimal).cast("string"), r"(\.[0-9]+?)0*$", "$1")
-
+    shorter = [F.format_string(f"%.{digits - 1}e", number) for digits in (15, 16, 17)]
+    shortest = F.when(F.length(text) <= 16, text)
+    for candidate in shorter[:2]:
+        shortest = shortest.when(candidate.cast("double") == number, candidate)
+    shortest = shortest.otherwise(shorter[2])
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), r"(\.[0-9]+?)0*$", "$1")
     return (
-        F.when(~F.contains(text, F.lit("E")), text)
-        .when((size >= 1e7) & (size < 1e16), plain("decimal(38,10)"))
-        .when((size >= 1e-5) & (size < 1e-3), plain("decimal(38,30)"))
-        .otherwise(F.regexp_replace(text, r"(\.0)?E", "e"))
+        F.when(number == 0, F.lit("0.0"))
+        .when((size >= 1e-5) & (size < 1e16), plain)
+        .otherwise(F.regexp_replace(shortest, r"\.?0*[eE]\+?(-?)0*", "e$1"))
     )
 
 
