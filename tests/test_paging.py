@@ -70,16 +70,40 @@ def test_deep_pages_of_large_numbers(spark):
     assert sorted(r.id for r in got.collect()) == sorted(numbers)[700:705]
 
 
-def test_deep_pages_by_text_are_sorted(spark):
-    df = spark.range(500).selectExpr("cast(id as string) id")
-    got = page(df, [Key("id")], 5, 300, direct_rows=20)
-    assert [r.id for r in got.collect()] == sorted(map(str, range(500)))[300:305]
+TEXTS = [f"evt-{i}" for i in range(300)] + [f"évt-{i}x" for i in range(40)] + ["", "e", "evt", "evt-", "日本", "日", "😀"]
+TEXTS += [f"{i:x}" * 5 for i in range(300)]
 
 
-def test_nulls_in_a_deep_sort_column(spark):
-    df = spark.range(100).selectExpr("if(id = 5, null, id) id")
-    with pytest.raises(ValueError, match="NULL"):
-        page(df, [Key("id")], 5, 60, direct_rows=20)
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("offset", [0, 21, 100, 305, 340, 500, 620, 640, len(TEXTS)])
+def test_deep_pages_by_text(spark, offset, descending):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "id string").repartition(3)
+    want = sorted(TEXTS, key=str.encode, reverse=descending)[offset : offset + 9]
+    assert [r.id for r in page(df, [Key("id", descending)], 9, offset, direct_rows=20).collect()] == want
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("offset", [0, 30, 50, 58, 60, 100, 155])
+def test_deep_pages_with_nulls_and_ties(spark, offset, descending):
+    data = [(None, f"a{i:03d}") for i in range(60)] + [(7, f"b{i:03d}") for i in range(60)] + [(i, "c") for i in range(8, 48)]
+    df = spark.createDataFrame(data, "n int, t string").repartition(3)
+    nulls, filled = data[:60], data[60:]
+    if descending:
+        want = sorted(filled, key=lambda r: (-r[0], r[1])) + nulls
+    else:
+        want = nulls + sorted(filled)
+    got = page(df, [Key("n", descending), Key("t")], 5, offset, direct_rows=10)
+    assert list(map(tuple, got.collect())) == want[offset : offset + 5]
+
+
+def test_deep_pages_of_one_value(spark):
+    df = spark.range(50).selectExpr("1 n", "cast(null as string) t")
+    assert page(df, [Key("n"), Key("t")], 5, 30, direct_rows=10).count() == 5
+
+
+def test_deep_pages_by_double_are_sorted(spark):
+    df = spark.range(500).selectExpr("cast(id as double) id")
+    assert [r.id for r in page(df, [Key("id")], 2, 300, direct_rows=20).collect()] == [300.0, 301.0]
 
 
 def tiers(rows):

@@ -130,8 +130,8 @@ def _merged(
 
 
 def delete_by_key(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``target`` without the rows whose key is in ``keys``."""
-    return target.join(keys.select(quoted(key).alias(key)), key, "left_anti").select(
+    """``target`` without the rows whose key is in ``keys``; repeated keys are reduced before they are moved."""
+    return target.join(keys.select(quoted(key).alias(key)).distinct(), key, "left_anti").select(
         *[quoted(c) for c in target.columns]
     )
 

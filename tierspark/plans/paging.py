@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from os.path import commonprefix
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierspark.functions.names import quoted
-from tierspark.functions.times import instant_literal
 from tierspark.operators.views import ColumnSpec, column_view
 from tierspark.plans.tiers import Tier, tiered_rows
 
@@ -57,8 +57,10 @@ def page(
     """``limit`` rows from ``offset`` on, in the given order, which must not tie.
 
     Near the start, each task keeps ``offset + limit`` rows and the driver merges them. Deep pages
-    are found without sorting: rows are counted in up to 1024 equal ranges of the first sort column,
-    the range with the page is split again, and so on until few rows stand before the page.
+    are found without sorting: rows are counted in up to 1024 equal ranges of the first sort column
+    (texts by the first character in which they differ), the range with the page is split again, and
+    so on until few rows stand before the page. A value that alone holds more rows than that is split
+    by the next column. Only other types of column, such as doubles, are sorted whole.
     """
     if offset + limit > direct_rows:
         return _deep_page(df, list(order), limit, offset, direct_rows)
@@ -66,7 +68,7 @@ def page(
 
 
 def _rank(df: DataFrame, column: str) -> Column | None:
-    """A sort column as a whole number, if it has such a form."""
+    """A sort column in a form that can be split into ranges: a whole number, or plain text."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.TimestampNTZType):
         return F.unix_micros(quoted(column).cast("timestamp"))
@@ -74,73 +76,96 @@ def _rank(df: DataFrame, column: str) -> Column | None:
         return F.unix_micros(quoted(column))
     if isinstance(kind, T.IntegralType):
         return quoted(column).cast("bigint")
+    if kind.simpleString() == "string":
+        return quoted(column)
     return None
 
 
-def _floor_div(rank: Column, width: int) -> Column:
-    """Whole-number division rounding down; a division of doubles would lose digits of large keys."""
-    return ((rank - F.pmod(rank, F.lit(width))).cast("decimal(20,0)") / F.lit(width)).cast("bigint")
+def _counted(rows: DataFrame, bucket: Column) -> list:
+    return rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
 
 
-def _between(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
-    """The rows whose rank lies in a closed range, compared in the column's own type so that scans skip."""
-    kind = df.schema[column].dataType
+def _split_numbers(
+    rows: DataFrame, column: str, rank: Column, low: int, high: int
+) -> tuple[list, Callable[[list], DataFrame]]:
+    """Counts of up to 1025 equal ranges, ascending, and the rows of neighbouring ones.
+
+    Ranges are compared in the column's own type, so that scans skip.
+    """
+    width = -(-(high - low + 1) // BUCKETS)
+    kind = rows.schema[column].dataType
+    # A division of doubles would lose digits of large keys.
+    bucket = ((rank - F.pmod(rank, F.lit(width))).cast("decimal(20,0)") / F.lit(width)).cast("bigint")
 
     def bound(value: int) -> Column:
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             return F.timestamp_micros(F.lit(value)).cast(kind)
         return F.lit(value).cast(kind)
 
-    return df.where((quoted(column) >= bound(low)) & (quoted(column) <= bound(high)))
+    def select(buckets: list) -> DataFrame:
+        values = [c.b for c in buckets]
+        first, last = max(low, min(values) * width), min(high, (max(values) + 1) * width - 1)
+        return rows.where((quoted(column) >= bound(first)) & (quoted(column) <= bound(last)))
+
+    return sorted(_counted(rows, bucket)), select
+
+
+def _split_texts(rows: DataFrame, column: str, low: str, high: str) -> tuple[list, Callable[[list], DataFrame]]:
+    """Counts by the first character in which texts differ, in text order, and the rows of some of them."""
+    shared = len(commonprefix([low, high]))
+    head = F.substring(quoted(column), 1, shared + 1)
+
+    def select(buckets: list) -> DataFrame:
+        if len(buckets) == 1 and len(buckets[0].b) > shared:
+            return rows.where(quoted(column).startswith(buckets[0].b))
+        return rows.where(head.isin([c.b for c in buckets]))
+
+    return sorted(_counted(rows, head), key=lambda c: c.b.encode()), select
 
 
 def _deep_page(df: DataFrame, order: list[Key], limit: int, offset: int, direct_rows: int) -> DataFrame:
-    direct = df.orderBy(*[k.order() for k in order])
-    first = order[0]
+    first, rest = order[0], order[1:]
+    sort = [k.order() for k in order]
     rank = _rank(df, first.column)
     if rank is None:
-        return direct.offset(offset).limit(limit)
+        return df.orderBy(*sort).offset(offset).limit(limit)
     low, high, count, present = df.agg(
         F.min(rank), F.max(rank), F.count(F.lit(1)), F.count(quoted(first.column))
     ).first()
     if offset >= count:
         return df.limit(0)
+    if low == high and present in (0, count):
+        # One value holds more rows than can be skipped directly: go on with the next column.
+        if rest:
+            return page(df, rest, limit, offset, direct_rows)
+        return df.orderBy(*sort).offset(offset).limit(limit)
     if present < count:
-        raise ValueError(f"sort column {first.column!r} has NULLs: deep pages need a value in every row")
-
-    rows = df
-    while offset + limit > direct_rows and low < high:
-        width = -(-(high - low + 1) // BUCKETS)
-        counts = sorted(
-            rows.groupBy(_floor_div(rank, width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(),
-            reverse=first.descending,
+        # NULLs stand first, or last in descending order.
+        split = [Row(b=True, n=count - present), Row(b=False, n=present)]
+
+        def select(buckets: list) -> DataFrame:
+            return df.where(quoted(first.column).isNull().isin([c.b for c in buckets]))
+    elif isinstance(low, str):
+        split, select = _split_texts(df, first.column, low, high)
+    else:
+        split, select = _split_numbers(df, first.column, rank, low, high)
+
+    if first.descending:
+        split.reverse()
+    while split[0].n <= offset:
+        offset -= split.pop(0).n
+    seen, needed = 0, []
+    while split and seen < offset + limit:
+        seen += split[0].n
+        needed.append(split.pop(0))
+    if offset + limit > direct_rows and len(needed) > 1:
+        # The page starts deep inside one range and runs into the next ones: two pages.
+        size = needed[0].n - offset
+        both = page(select(needed[:1]), order, size, offset, direct_rows).unionByName(
+            page(select(needed[1:]), order, limit - size, 0, direct_rows)
         )
-        while counts[0].n <= offset:
-            offset -= counts.pop(0).n
-        seen, needed = 0, []
-        while counts and seen < offset + limit:
-            seen += counts[0].n
-            needed.append(counts.pop(0))
-
-        def ranges(buckets: list) -> DataFrame:
-            values = [c.b for c in buckets]
-            return _between(
-                df, first.column, max(low, min(values) * width), min(high, (max(values) + 1) * width - 1)
-            )
-
-        if offset + limit > direct_rows and len(needed) > 1:
-            # The page starts deep inside one range and runs into the next ones: two pages.
-            size = needed[0].n - offset
-            both = page(ranges(needed[:1]), order, size, offset, direct_rows).unionByName(
-                page(ranges(needed[1:]), order, limit - size, 0, direct_rows)
-            )
-            return both.orderBy(*[k.order() for k in order]).limit(limit)
-        rows = ranges(needed)
-        low, high = max(low, needed[0].b * width), min(high, (needed[0].b + 1) * width - 1)
-    if offset + limit > direct_rows and len(order) > 1:
-        # One value of this column holds more rows than can be skipped directly: go on with the next.
-        return _deep_page(rows, order[1:], limit, offset, direct_rows)
-    return page(rows, order, limit, offset, max(direct_rows, offset + limit))
+        return both.orderBy(*sort).limit(limit)
+    return page(select(needed), order, limit, offset, direct_rows)
 
 
 def table_page(
