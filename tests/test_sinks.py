@@ -1,9 +1,11 @@
+from datetime import datetime
+
 import duckdb
 import pytest
 
 from tierspark.operators.mapping import Mapping
 from tierspark.sources.stores import lake_location
-from tierspark.streaming.sinks import create_lake_statement, delete_statement, merge_statement
+from tierspark.streaming.sinks import create_lake_statement, delete_statement, merge_statement, prune_statement
 
 WIDE = Mapping('k"1', [("k", 'k"1', "int"), ("v", "v", "text"), ("t", "t", "timestamp")])
 NARROW = Mapping("k", [("k", "k", "int")])
@@ -43,3 +45,18 @@ def test_lake_table_statement(spark):
 
 def test_lake_location():
     assert lake_location("bucket", "/events/raw/") == "s3a://bucket/events/raw"
+
+
+def test_prune_statement(spark):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(
+        "CREATE TABLE t AS SELECT * FROM (VALUES (1, TIMESTAMPTZ '2024-01-23 23:59:59+00'), "
+        "(2, TIMESTAMPTZ '2024-01-24 00:00:00+00'), (3, NULL)) x(id, ts)"
+    )
+    con.execute(prune_statement("t", "ts", 7, datetime(2024, 1, 31)))
+    assert con.execute("SELECT id FROM t ORDER BY 1").fetchall() == [(2,), (3,)]
+    text = prune_statement("t", "ts", 7, datetime(2024, 1, 31), "`")
+    assert text == "DELETE FROM t WHERE `ts` < CAST('2024-01-24 00:00:00.000000+00:00' AS TIMESTAMP)"
+    with pytest.raises(ValueError):
+        prune_statement("t", "ts", 0, datetime(2024, 1, 31))

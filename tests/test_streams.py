@@ -127,6 +127,49 @@ def test_change_feed_into_a_table_and_compaction(spark, tmp_path):
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "base2")).collect()} == {1: "A", 2: "again", 4: "d"}
     with pytest.raises(Exception, match="(?i)exists"):
         compact(spark, latest, MAPPING, base)
+    compact(spark, latest, MAPPING, str(tmp_path / "pruned"), base, ("at", 1, datetime(2024, 1, 3)))
+    assert spark.read.parquet(str(tmp_path / "pruned")).isEmpty()
+
+
+class Store:
+    """A table that is changed in place, and what was done to it."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, []
+
+    def __call__(self, writes, removed, batch_id):
+        gone = [] if removed is None else [r[0] for r in removed.collect()]
+        new = {r.k: r.v for r in writes.collect()}
+        for k in gone:
+            self.rows.pop(k, None)
+        self.rows.update(new)
+        self.calls.append((sorted(gone), new))
+
+
+def test_tables_changed_in_place(spark, tmp_path):
+    topic, store = str(tmp_path / "topic"), Store()
+    send(spark, topic, [(message(1, "a"), 0, 0), (message(1, "b"), 0, 1), ("junk", 0, 2), (message(2, "c"), 1, 0)])
+    for _ in range(2):
+        drain(
+            lambda: topic_to_table(
+                read_message_files(spark, topic), MAPPING, store, str(tmp_path / "c"),
+                rejects=str(tmp_path / "rejects"), drain=True,
+            )
+        )
+    assert store.calls == [([], {1: "b", 2: "c"})]
+    feed = str(tmp_path / "feed")
+    schema = T.StructType(
+        [*MAPPING.schema.fields, T.StructField("_change_type", T.StringType()), T.StructField("_commit_version", T.LongType())]
+    )
+    day = datetime(2024, 1, 1)
+    changes = [(1, None, "delete", 1), (2, None, "delete", 1), (2, "back", "insert", 2), (3, "new", "insert", 1), (4, "x", "update_preimage", 1)]
+    spark.createDataFrame([(k, v, day, c, n) for k, v, c, n in changes], schema).write.parquet(feed)
+    drain(
+        lambda: changes_to_table(
+            spark.readStream.schema(schema).parquet(feed), MAPPING, store, str(tmp_path / "cf"), drain=True
+        )
+    )
+    assert store.calls[-1] == ([1, 2], {2: "back", 3: "new"}) and store.rows == {2: "back", 3: "new"}
 
 
 def test_progress_reports_feed_the_job_status(spark, tmp_path):

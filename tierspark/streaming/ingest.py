@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tierspark.operators.changes import final_changes, latest_per_key
 from tierspark.operators.mapping import Mapping, accepted, map_messages, rejected
 from tierspark.streaming.keyed_log import append_batch, feed_changes, message_changes
 
+# Applies one batch to a table that can be changed in place, such as those of
+# :mod:`tierspark.streaming.sinks`: rows to write (one per key), keys to remove before (or None), batch id.
+Sink = Callable[[DataFrame, DataFrame | None, int], None]
+
 
 def _start(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, drain: bool, interval: str, name: str | None
@@ -57,14 +62,15 @@ def topic_to_lake(
     rejects: str | None = None,
     day_of: str | None = None,
     rebalance: bool = False,
+    format: str = "parquet",
     drain: bool = False,
     interval: str = "5 seconds",
     name: str | None = None,
 ) -> StreamingQuery:
-    """Append accepted messages to a lake table of parquet files; keys are not deduplicated.
+    """Append accepted messages to a lake table; keys are not deduplicated.
 
-    Each batch writes its own folder and replaces it when it runs again, so nothing is lost or
-    doubled. ``day_of`` names a time column by whose day the files are partitioned, for readers that
+    Each batch writes its own folder of parquet files and replaces it when it runs again, so nothing
+    is lost or doubled. With ``format="delta"`` the batch number does the same for a Delta table. ``day_of`` names a time column by whose day the files are partitioned, for readers that
     ask for a time window. ``rebalance`` evens out file sizes at the price of a shuffle; days with
     very many rows are split.
     """
@@ -75,10 +81,12 @@ def topic_to_lake(
             rows = rows.withColumn("day", F.to_date(day_of))
         if rebalance:
             rows = rows.hint("rebalance", *(["day"] if day_of else []))
-        out = rows.write.mode("overwrite")
-        if day_of:
-            out = out.partitionBy("day")
-        out.parquet(f"{lake.rstrip('/')}/batch_id={batch_id}")
+        out = rows.write.partitionBy("day") if day_of else rows.write
+        if format == "delta":
+            out = out.format(format).option("txnAppId", checkpoint).option("txnVersion", batch_id)
+            out.mode("append").save(lake)
+        else:
+            out.format(format).mode("overwrite").save(f"{lake.rstrip('/')}/batch_id={batch_id}")
 
     stream, each = _mapped_batches(messages, mapping, rejects, write)
     return _start(stream, each, checkpoint, drain, interval, name)
@@ -87,17 +95,25 @@ def topic_to_lake(
 def topic_to_table(
     messages: DataFrame,
     mapping: Mapping,
-    table: str,
+    table: str | Sink,
     checkpoint: str,
     rejects: str | None = None,
     drain: bool = False,
     interval: str = "5 seconds",
     name: str | None = None,
 ) -> StreamingQuery:
-    """Upsert accepted messages into a keyed table (see :mod:`tierspark.streaming.keyed_log`)."""
+    """Upsert accepted messages into a keyed table.
+
+    ``table`` is the folder of a :mod:`tierspark.streaming.keyed_log`, or a function that changes a
+    table in place. Batches may run again after a crash; upserts by key do not mind.
+    """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        append_batch(message_changes(rows), mapping, table, batch_id)
+        if callable(table):
+            last = latest_per_key(rows, mapping.key, ["_offset", "_partition"])
+            table(last.select(*mapping.columns), None, batch_id)
+        else:
+            append_batch(message_changes(rows), mapping, table, batch_id)
 
     stream, each = _mapped_batches(messages, mapping, rejects, write)
     return _start(stream, each, checkpoint, drain, interval, name)
@@ -106,16 +122,28 @@ def topic_to_table(
 def changes_to_table(
     feed: DataFrame,
     mapping: Mapping,
-    table: str,
+    table: str | Sink,
     checkpoint: str,
     drain: bool = False,
     interval: str = "5 seconds",
     name: str | None = None,
 ) -> StreamingQuery:
-    """Carry a lake table's inserts, updates and deletes on into a keyed table."""
+    """Carry a lake table's inserts, updates and deletes on into a keyed table, as :func:`topic_to_table`.
+
+    Keys that were deleted at any point of a batch are removed before the rest is written, so that a
+    row that came back starts over.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        append_batch(feed_changes(batch), mapping, table, batch_id)
+        if not callable(table):
+            append_batch(feed_changes(batch), mapping, table, batch_id)
+            return
+        final = final_changes(batch, mapping.columns, mapping.key).persist()
+        try:
+            removed = final.where("_reset").select(mapping.key)
+            table(final.where(~F.col("_deleted")).select(*mapping.columns), removed, batch_id)
+        finally:
+            final.unpersist()
 
     return _start(feed, each, checkpoint, drain, interval, name)
 

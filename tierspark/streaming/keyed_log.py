@@ -7,6 +7,8 @@ travels with the rows, hence it does not matter in which batch a change arrives.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from tierspark.functions.names import quoted
 from tierspark.operators.changes import latest_per_key
 from tierspark.operators.mapping import Mapping
+from tierspark.operators.retention import prune
 
 ORDER = ["_major", "_minor"]
 
@@ -79,6 +82,19 @@ def read_keyed(spark: SparkSession, path: str, mapping: Mapping, base: str | Non
     return kept.select(*columns).unionByName(current)
 
 
-def compact(spark: SparkSession, path: str, mapping: Mapping, target: str, base: str | None = None) -> None:
-    """Write the current rows to ``target``, a new base. Log folders it covers may be removed afterwards."""
-    read_keyed(spark, path, mapping, base).write.mode("errorifexists").parquet(target)
+def compact(
+    spark: SparkSession,
+    path: str,
+    mapping: Mapping,
+    target: str,
+    base: str | None = None,
+    retention: tuple[str, int, datetime] | None = None,
+) -> None:
+    """Write the current rows to ``target``, a new base. Log folders it covers may be removed afterwards.
+
+    ``retention`` (time column, days, now) leaves out rows that are too old.
+    """
+    rows = read_keyed(spark, path, mapping, base)
+    if retention:
+        rows = prune(rows, *retention)
+    rows.write.mode("errorifexists").parquet(target)

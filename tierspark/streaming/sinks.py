@@ -6,9 +6,11 @@ Both need packages that are not part of Spark; the SQL they send is built here a
 from __future__ import annotations
 
 from collections.abc import Mapping as Named
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from tierspark.functions.times import in_utc
 from tierspark.operators.mapping import Mapping
 
 
@@ -46,6 +48,21 @@ def create_lake_statement(location: str, mapping: Mapping) -> str:
     )
 
 
+def prune_statement(target: str, ts: str, days: int, now: datetime, quote: str = '"') -> str:
+    """Removal of the rows whose time is more than ``days`` days before ``now``; rows without a time stay."""
+    if days <= 0:
+        raise ValueError("days must be positive")
+    limit = (in_utc(now) - timedelta(days=days)).strftime("%Y-%m-%d %H:%M:%S.%f+00:00")
+    column = quote + ts.replace(quote, quote * 2) + quote
+    kind = "TIMESTAMP" if quote == "`" else "TIMESTAMP WITH TIME ZONE"
+    return f"DELETE FROM {target} WHERE {column} < CAST('{limit}' AS {kind})"
+
+
+def prune_delta(spark: SparkSession, location: str, ts: str, days: int, now: datetime) -> None:
+    """Remove old rows from a Delta table; whole files are dropped where its statistics allow."""
+    spark.sql(prune_statement(f"delta.`{location}`", ts, days, now, "`"))
+
+
 def merge_into_delta(writes: DataFrame, removed: DataFrame | None, location: str, mapping: Mapping) -> None:
     """Remove the keys of ``removed``, then merge ``writes``, in a Delta table."""
     spark = writes.sparkSession
