@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierspark.llm.bpe_trie import encoder
-from tierspark.llm.common import pick, shared_folder
+from tierspark.llm.common import pick, shared_folder, sliced
 
 BLOCK = 4096
 SEGMENT = 1 << 18
@@ -108,7 +108,7 @@ def write_ids(
             + [("payload", pa.binary())]
         )
         shard, first, segment = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             coder = encoder(path, library=True)
             width = width_of(max(coder.vocabulary.size, end_id + 1))
             found, offsets = coder.encode(batch.column(1))

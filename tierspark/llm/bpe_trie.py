@@ -27,11 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tierspark.llm.common import arrow_map, pick
+from tierspark.llm.common import arrow_map, pick, sliced
 
 # Bounds of what a worker remembers; beyond them it starts anew.
-MAX_PIECES = 1_200_000
-MAX_WORDS = 600_000
+MAX_PIECES = 800_000
+MAX_WORDS = 500_000
 MAX_PAIRS = 1_000_000
 # Marks that are a word of their own behind letters; any other piece is cut by the rules below.
 PLAIN_ENDS = (".", ",")
@@ -162,6 +162,11 @@ class Trie:
         return found
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit integers."""
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Encodes batches of texts; each distinct piece of text is encoded once and remembered.
 
@@ -178,7 +183,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._numbers: dict[str, int] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
         self._ids, self._starts, self._lengths = array("I"), array("q"), array("q")
 
     def _plain_words(self, piece: str) -> list[str]:
@@ -200,25 +205,25 @@ class Encoder:
             return [piece[:-1], piece[-1]]
         return WORDS.findall(piece)
 
-    def _piece_words(self, piece: str) -> list[str | int]:
-        """The words of a piece; special tokens, which are looked for before anything else, by their ids."""
+    def _piece_words(self, piece: str) -> list[str | bytes]:
+        """The words of a piece; special tokens, which are looked for before anything else, as their ids."""
         special = self.vocabulary.special
         if "<" not in piece or not special:
             return self._plain_words(piece)
-        words: list[str | int] = []
+        words: list[str | bytes] = []
         for part in self._specials.split(piece):
-            words += [special[part]] if part in special else self._plain_words(part)
+            words += [as_bytes([special[part]])] if part in special else self._plain_words(part)
         return words
 
     def _learn_words(self, words: set[str]) -> None:
         symbols, known = self.vocabulary.symbols, self._words
         if self._model:
             for word in words:
-                known[word] = [token.id for token in self._model.tokenize(symbols(word))]
+                known[word] = as_bytes([token.id for token in self._model.tokenize(symbols(word))])
             return
         trie = Trie(self.vocabulary)
         for spelled, word in sorted([(symbols(word), word) for word in words]):
-            known[word] = trie.insert(spelled)
+            known[word] = as_bytes(trie.insert(spelled))
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The number of each (distinct) piece, new ones encoded now."""
@@ -232,7 +237,7 @@ class Encoder:
         for piece, parts in cut.items():
             start = len(self._ids)
             for word in parts:
-                self._ids.extend(words[word] if type(word) is str else [word])
+                self._ids.frombytes(words[word] if type(word) is str else word)
             known[piece] = len(self._starts)
             self._starts.append(start)
             self._lengths.append(len(self._ids) - start)
@@ -297,7 +302,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     rows = pick(docs, **{key: key, "_text": text})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, offsets = encoder(path, library).encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_binary(ids, offsets)], [key, "ids"])
 
@@ -333,7 +338,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             coder = encoder(path)
             numbers, offsets = coder.cut(batch.column(1))
             ids, decoded, places = coder.forms(numbers)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierspark.session import shared_folder, written
 
-__all__ = ["arrow_map", "pick", "shared_folder", "stored", "table", "written"]
+__all__ = ["arrow_map", "pick", "shared_folder", "sliced", "stored", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return written(df, shared_folder(df.sparkSession, purpose))
 
 
+# Bytes of text that are worked on at once.
+SLICE = 4 << 20
+
+
+def sliced(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of about 4 MB of the text column at ``text``, which bounds what a task holds."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(batch):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def arrow_map(
     df: DataFrame, each: Callable[[list[list]], list[list]], schema: str
 ) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tierspark.llm.common import pick
+from tierspark.llm.common import pick, sliced
 
 # The kinds in their order, and the patterns of the plain forms.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -439,7 +439,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", table: str =
     rows = pick(docs, **{key: key, "_text": text})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             counts: list[list[int]] = [[] for _ in BASE_KINDS]
             digests, lists = [], []
             for _, base, spans in _spans(batch.column(1), table):
@@ -472,7 +472,7 @@ def redact(docs: DataFrame, text: str = "text", table: str = LABELLED) -> DataFr
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, place):
             clean = [masked(value, spans) for value, _, spans in _spans(batch.column(place), table)]
             new = pc.if_else(batch.column(place).is_null(), pa.scalar(None, pa.string()), pa.array(clean, pa.string()))
             columns = list(batch.columns)

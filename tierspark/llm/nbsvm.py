@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierspark.llm.common import pick
+from tierspark.llm.common import pick, sliced
 
 BUCKETS = 1 << 18
 TRAINING_ROWS = 12_000
@@ -206,7 +206,7 @@ def train(
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in sliced(batches, 2):
             grams = [np.sort(f).astype("<i4").tobytes() for f in features.of(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(grams, pa.binary())], ["_key", "_label", "grams"]
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, fitted = Features(), Model(weights.astype(np.float64), *curve)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             scores = np.array([fitted.score(found) for found in features.of(batch.column(2))])
             columns = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= GOOD_FROM).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [key, "held_out", "score", "predicted"])
@@ -261,7 +261,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, fitted = Features(), Model(weights.astype(np.float64), *curve)
-        for batch in batches:
+        for batch in sliced(batches, place):
             good = [fitted.score(found) >= GOOD_FROM for found in features.of(batch.column(place))]
             yield batch.filter(pa.array(good, pa.bool_()))
 

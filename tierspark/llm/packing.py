@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierspark.llm.bpe_trie import as_binary, encoder
-from tierspark.llm.common import pick, stored
+from tierspark.llm.common import pick, sliced, stored
 
 CAPACITY = 2048
 OPEN_BINS = 4096
@@ -84,7 +84,7 @@ def pieces(
     schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found, offsets = encoder(path, library=True).encode(batch.column(1))
             ids = np.insert(found, offsets[1:], np.uint32(end_id))
             bounds = offsets + np.arange(len(offsets))
