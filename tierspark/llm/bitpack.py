@@ -35,7 +35,7 @@ from tierspark.llm.common import pick, shared_folder, sliced
 
 BLOCK = 4096
 SEGMENT = 1 << 18
-DOCS_PER_SHARD = 1 << 16
+DOCS_PER_SHARD = 1 << 14
 
 COLUMNS = (
     "shard int, segment int, first bigint, n_ids bigint, width int, block int, "

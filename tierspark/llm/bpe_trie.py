@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 from tierspark.llm.common import arrow_map, pick, sliced
 
 # Bounds of what a worker remembers; beyond them it starts anew.
-MAX_PIECES = 800_000
-MAX_WORDS = 500_000
+MAX_PIECES = 400_000
+MAX_WORDS = 300_000
 MAX_PAIRS = 1_000_000
 # Marks that are a word of their own behind letters; any other piece is cut by the rules below.
 PLAIN_ENDS = (".", ",")
@@ -234,13 +234,16 @@ class Encoder:
         known, words = self._numbers, self._words
         cut = {piece: self._piece_words(piece) for piece in pieces if piece not in known}
         self._learn_words({w for parts in cut.values() for w in parts if type(w) is str and w not in words})
-        for piece, parts in cut.items():
-            start = len(self._ids)
-            for word in parts:
-                self._ids.frombytes(words[word] if type(word) is str else word)
-            known[piece] = len(self._starts)
-            self._starts.append(start)
-            self._lengths.append(len(self._ids) - start)
+        raw = [
+            words[parts[0]] if len(parts) == 1 and type(parts[0]) is str
+            else b"".join([words[word] if type(word) is str else word for word in parts])
+            for parts in cut.values()
+        ]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // self._ids.itemsize
+        self._starts.frombytes((len(self._ids) + np.cumsum(lengths) - lengths).tobytes())
+        self._lengths.frombytes(lengths.tobytes())
+        self._ids.frombytes(b"".join(raw))
+        known.update(zip(cut, range(len(known), len(known) + len(raw))))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -261,12 +264,13 @@ class Encoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten()
         coded = flat.dictionary_encode()
-        firsts = [t if w else p for t, w, p in zip(texts.to_pylist(), whole.to_pylist(), flat.take(offsets[:-1]).to_pylist())]
+        firsts = flat.take(offsets[:-1]).to_pylist()
+        for at in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            firsts[at] = texts[at].as_py()
         spaced = [" " + piece for piece in coded.dictionary.to_pylist()]
-        distinct = list({*spaced, *firsts})
-        number = dict(zip(distinct, self.numbers(distinct).tolist()))
-        numbers = np.fromiter(map(number.__getitem__, spaced), np.int64, len(spaced))[coded.indices.to_numpy()]
-        numbers[offsets[:-1]] = [number[first] for first in firsts]
+        found = self.numbers(spaced + firsts)
+        numbers = found[: len(spaced)][coded.indices.to_numpy()]
+        numbers[offsets[:-1]] = found[len(spaced) :]
         return numbers, offsets
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -279,7 +279,7 @@ class Tagger:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        if len(self.words) > 500_000:
+        if len(self.words) > 200_000:
             self.words.clear()
         known, plain = self.words, self._form("a")
         numbers = []

@@ -64,7 +64,7 @@ class Features:
         coded = lists.flatten().dictionary_encode()
         words, offsets = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
         known = self._forms
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         forms = [known[w] if w in known else known.setdefault(w, word_form(w)) for w in coded.dictionary.to_pylist()]
         again = np.zeros(len(words), np.int64)
