@@ -124,6 +124,7 @@ def write_ids(
                 row = [shard, segment, first, len(part), width, BLOCK, blocks, keys[at:upto], starts, payload]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
                 first, segment, at = first + len(part), segment + 1, upto
+        encoder(path, library=True).forget()
 
     dealt = rows.repartitionByRange(shards, F.col("_key").asc_nulls_first()).sortWithinPartitions(
         F.col("_key").asc_nulls_first(), F.xxhash64("_text")

@@ -18,7 +18,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +62,9 @@ class Vocabulary:
         model = content["model"]
         if model["type"] != "BPE":
             raise ValueError(f"{path}: not a BPE vocabulary")
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self._merges = model["merges"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        self.ranks: dict[tuple[str, str], int] = {pair: rank for rank, pair in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         # Tokens by their symbols, those that end a word apart where the vocabulary marks them.
@@ -77,6 +76,11 @@ class Vocabulary:
         self._bytes = dict(enumerate(byte_symbols()))
         self._space = self._bytes[32]
 
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self._merges]
+        return {pair: rank for rank, pair in enumerate(pairs)}
+
     @property
     def size(self) -> int:
         return max(self.tokens) + 1
@@ -179,9 +183,10 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")")
         self._model = Tokenizer.from_file(path).model if library else None
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Let go of all pieces, at the end of a task or when there are too many."""
         self._numbers: dict[str, int] = {}
         self._words: dict[str, bytes] = {}
         self._ids, self._starts, self._lengths = array("I"), array("q"), array("q")
@@ -228,7 +233,7 @@ class Encoder:
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The number of each (distinct) piece, new ones encoded now."""
         if len(self._numbers) > MAX_PIECES:
-            self._forget()
+            self.forget()
         if len(self._words) > MAX_WORDS:
             self._words = {}
         known, words = self._numbers, self._words
@@ -292,7 +297,7 @@ class Encoder:
         return [" ".join(map(str, p)) for p in pieces], [" ".join([tokens[i] for i in p]) for p in pieces], places
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, library: bool = False) -> Encoder:
     """One encoder per worker and file."""
     return Encoder(path, library)
@@ -309,6 +314,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         for batch in sliced(batches, 1):
             ids, offsets = encoder(path, library).encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_binary(ids, offsets)], [key, "ids"])
+        encoder(path, library).forget()
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
 
@@ -357,5 +363,6 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 of_text.append(hashlib.sha256(text_tokens.encode()).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)]
             yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder(path).forget()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tierspark.session import shared_folder, written
 
-__all__ = ["arrow_map", "pick", "shared_folder", "sliced", "stored", "table", "written"]
+__all__ = ["arrow_map", "bounded", "pick", "shared_folder", "sliced", "stored", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     missing = [columns[name] for name, place in places.items() if place < 0]
     if missing:
         raise ValueError(f"columns not found: {missing}")
+    bounded(df.sparkSession)
     numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return numbered.select(*[F.col(f"_{place}").alias(name) for name, place in places.items()])
 
@@ -38,8 +39,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return written(df, shared_folder(df.sparkSession, purpose))
 
 
-# Bytes of text that are worked on at once.
+# Bytes of text that are worked on at once, and rows that Spark hands to Python at once: whole texts are
+# long, and Spark's own limit of 10 000 rows would hold tens of megabytes on both sides of each task.
 SLICE = 4 << 20
+ROWS_AT_ONCE = 1024
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to :data:`ROWS_AT_ONCE`; a smaller one of the user's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
 
 
 def sliced(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:

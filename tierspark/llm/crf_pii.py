@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tierspark.llm.common import pick, sliced
+from tierspark.llm.common import bounded, pick, sliced
 
 # The kinds in their order, and the patterns of the plain forms.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -469,6 +469,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame, text: str = "text", table: str = LABELLED) -> DataFrame:
     """``docs`` with all personal data masked in ``text``; other columns, and NULL texts, stay as they are."""
+    bounded(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierspark.llm.common import pick, sliced
+from tierspark.llm.common import bounded, pick, sliced
 
 BUCKETS = 1 << 18
 TRAINING_ROWS = 12_000
@@ -256,6 +256,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is predicted to be good, with all their columns."""
+    bounded(docs.sparkSession)
     place = docs.columns.index(text)
     weights, curve = model.weights.astype(np.float32), (model.bias, model.slope, model.shift)
 

@@ -107,6 +107,7 @@ def pieces(
             if keep_ids:  # pieces follow each other without gaps
                 columns.append(as_binary(ids, np.append(first, len(ids))))
             yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        encoder(path, library=True).forget()
 
     return rows.mapInArrow(run, schema + (", ids binary" if keep_ids else ""))
 
