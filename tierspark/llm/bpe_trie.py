@@ -67,15 +67,26 @@ class Vocabulary:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        # Tokens by their symbols, those that end a word apart where the vocabulary marks them.
-        closing = {t: i for t, i in self.ids.items() if self.end and t.endswith(self.end)}
-        self.inner = {t: i for t, i in self.ids.items() if t not in closing}
-        self.final = {t.removesuffix(self.end): i for t, i in closing.items()} if self.end else self.inner
-        self.width = {i: len(t) for part in (self.inner, self.final) for t, i in part.items()}
         self.pairs: dict[int, bool] = {}
         self._bytes = dict(enumerate(byte_symbols()))
         self._space = self._bytes[32]
 
+    # What only the trie needs is made when it is first used.
+
+    @cached_property
+    def inner(self) -> dict[str, int]:
+        """Tokens by their symbols, without those that end a word where the vocabulary marks them."""
+        return {t: i for t, i in self.ids.items() if not (self.end and t.endswith(self.end))}
+
+    @cached_property
+    def final(self) -> dict[str, int]:
+        """Tokens that end a word, by their symbols."""
+        return {t.removesuffix(self.end): i for t, i in self.ids.items() if t.endswith(self.end)} if self.end else self.inner
+
+    @cached_property
+    def width(self) -> dict[int, int]:
+        return {i: len(t) for part in (self.inner, self.final) for t, i in part.items()}
+
     @cached_property
     def ranks(self) -> dict[tuple[str, str], int]:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self._merges]

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierspark.llm.common import stored
 
-# Edges that a task holds at once while it joins them up.
-CHUNK = 1 << 20
-
 
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest node of each node's component, for edges between the nodes 0 to n - 1."""
@@ -44,23 +38,6 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[tied], nodes[root[tied]]], axis=1)
 
 
-def _joined_up(edges: DataFrame) -> DataFrame:
-    """Each task's edges as stars, in bounded chunks."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 2), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            if len(held) >= CHUNK:
-                stars = forest(held)
-                held = np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["a", "b"])
-        stars = forest(held)
-        yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["a", "b"])
-
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node that has an edge in ``edges(a, b)``; the root is the smallest node reachable.
 
@@ -68,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     folder. A node's neighbours are never gathered: the smallest is an aggregate, and the node is replaced by
     it in each edge on its own. Rounds grow with the logarithm of the longest path.
     """
-    now = stored(_joined_up(edges).where("a <> b").distinct(), "edges")
+    now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     while True:
         # Large star: neighbours above a node are tied to its smallest neighbour, or itself.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -256,9 +256,7 @@ class Tagger:
 
     def __init__(self, field: Field):
         self.field = field
-        self.forms: dict[str, int] = {EDGE: 0}
-        self.words: dict[str, int] = {}
-        self.emit = field.emissions(EDGE)[None]
+        self.forget()
         k = len(TAGS)
         possible = field.moves[:k] > -1e3
         inner = np.where(possible, field.moves[:k], np.nan)
@@ -266,6 +264,12 @@ class Tagger:
         self.reach = 2 * (np.nanmax(inner) - min(np.nanmin(inner[:, 0]), np.nanmin(inner[0]), field.moves[k, 0]))
         self.reach = max(self.reach, 0.0) + max(0.0, field.moves[k].max() - field.moves[k, 0])
 
+    def forget(self) -> None:
+        """Let go of all words and shapes, at the end of a task or when there are too many."""
+        self.forms: dict[str, int] = {EDGE: 0}
+        self.words: dict[str, int] = {}
+        self.emit = self.field.emissions(EDGE)[None]
+
     def _form(self, word: str) -> int:
         form = shape(word)
         number = self.forms.get(form)
@@ -279,8 +283,8 @@ class Tagger:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        if len(self.words) > 200_000:
-            self.words.clear()
+        if len(self.words) > 200_000 or len(self.forms) > 20_000:
+            self.forget()
         known, plain = self.words, self._form("a")
         numbers = []
         for word in coded.dictionary.to_pylist():
@@ -451,6 +455,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", table: str =
             columns += [pa.array(digests, pa.string()), pa.array(lists, pa.string())]
             names = [key, *[f"n_{kind}" for kind in BASE_KINDS], "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        tagger(table).forget()
 
     kind = rows.schema[key].dataType.simpleString()
     numbers = ", ".join(f"n_{kind} bigint" for kind in BASE_KINDS)
@@ -479,5 +484,6 @@ def redact(docs: DataFrame, text: str = "text", table: str = LABELLED) -> DataFr
             columns = list(batch.columns)
             columns[place] = new
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        tagger(table).forget()
 
     return docs.mapInArrow(run, docs.schema)
