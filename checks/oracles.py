@@ -225,6 +225,12 @@ FROM events
 SELECT event_id, user_id, event_type,
        CASE WHEN ts > TIMESTAMP '2024-01-30 00:00:00' THEN value + 1 ELSE value END AS value, ts, ts AS synced_at
 FROM events
+""",
+    "upsert_null_keys": """
+SELECT CASE WHEN event_id % 101 <> 0 THEN event_id END AS event_id, user_id, event_type,
+       CASE WHEN event_id % 101 <> 0 AND ts > TIMESTAMP '2024-01-17 00:00:00' THEN value + 1 ELSE value END AS value, ts,
+       CASE WHEN ts <= TIMESTAMP '2024-01-24 00:00:00' THEN ts END AS synced_at
+FROM events WHERE event_id % 101 <> 0 OR ts <= TIMESTAMP '2024-01-24 00:00:00'
 """,
     "upsert_key_only": """
 SELECT user_id, min(ts) FILTER (WHERE event_type = 'signup') AS first_seen FROM events GROUP BY user_id
@@ -243,6 +249,8 @@ SELECT event_id, user_id FROM events WHERE user_id NOT IN (
     "topic_to_lake": MESSAGES + "SELECT event_id, user_id, event_type, value, occurred_at, k, props FROM good",
     "topic_to_table": LATEST_MESSAGES,
     "topic_drain_twice": LATEST_MESSAGES,
+    "two_topics_one_lake": MESSAGES + "SELECT event_id, user_id, event_type, value, occurred_at, k, props FROM good",
+    "two_topics_one_table": LATEST_MESSAGES,
     "job_status": """
 WITH observed AS (
   SELECT user_id AS job,

@@ -265,6 +265,14 @@ def q_upsert_small_batch(spark, sf):
     return upsert_batch(target, changes, "event_id")
 
 
+def q_upsert_null_keys(spark, sf):
+    """Every 101st row of the target and of the changes has lost its key: such rows stay, such changes name no row."""
+    lost = F.when(F.col("event_id") % 101 != 0, F.col("event_id"))
+    target = fx.stored_events(spark, sf).withColumn("event_id", lost)
+    changes = fx.resent_events(spark, sf).where("sent = 2").drop("sent").withColumn("event_id", lost)
+    return upsert(target, changes, "event_id")
+
+
 def q_upsert_key_only(spark, sf):
     e = fx.events(spark, sf)
     first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("first_seen"))
@@ -336,6 +344,26 @@ def q_topic_to_table(spark, sf):
     return naive(read_keyed(spark, f"{folder}/table", fx.MAPPING))
 
 
+def _two_streams(spark, sf, start):
+    """First sendings by one stream, repeats by another with a checkpoint of its own, into one target."""
+    fx.configure(spark)
+    folder = shared_folder(spark, "topics")
+    messages = fx.messages(spark, sf)
+    for name, part in (("first", F.col("offset") < fx.RESENT), ("again", F.col("offset") >= fx.RESENT)):
+        messages.where(part).write.parquet(f"{folder}/{name}")
+        stream = lambda: read_message_files(spark, f"{folder}/{name}")  # noqa: E731, B023
+        drain(lambda: start(stream(), fx.MAPPING, f"{folder}/target", f"{folder}/{name}-checkpoint", drain=True))  # noqa: B023
+    return f"{folder}/target"
+
+
+def q_two_topics_one_lake(spark, sf):
+    return naive(read_lake(spark, _two_streams(spark, sf, topic_to_lake)).select(*fx.MAPPING.columns))
+
+
+def q_two_topics_one_table(spark, sf):
+    return naive(read_keyed(spark, _two_streams(spark, sf, topic_to_table), fx.MAPPING))
+
+
 def q_topic_drain_twice(spark, sf):
     """Half of the topic, a drain; the other half, a second drain; a third drain finds nothing new."""
     fx.configure(spark)

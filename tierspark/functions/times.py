@@ -30,3 +30,11 @@ def instant_literal(instant: datetime, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         text += "Z"
     return F.lit(text).cast(kind)
+
+
+def utc_day(df: DataFrame, column: str) -> Column:
+    """The day of a time column in UTC, whatever the session's zone."""
+    if isinstance(time_type(df, column), T.TimestampNTZType):
+        return F.to_date(F.col(column))
+    days = F.floor(F.unix_micros(column) / F.lit(86_400_000_000).cast("decimal(20,0)")).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)

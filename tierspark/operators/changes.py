@@ -75,7 +75,7 @@ def upsert_batch(
         return upsert(target, changes, key, defaults, deleted, reset)
     mapped = _mapped(target, changes, deleted, reset)
     t, c = _sides(target, changes, key)
-    met = t.select("_tk").join(F.broadcast(c.select("_ck")), F.col("_tk") == F.col("_ck"), "left_semi")
+    met = t.select("_tk").join(F.broadcast(c.select("_ck")), F.col("_tk") == F.col("_ck"), "left_semi").distinct()
     old = t.join(F.broadcast(c), F.col("_tk") == F.col("_ck"), "left")
     # The keys met are no more than the changes, hence as small.
     new = c.join(F.broadcast(met), F.col("_tk") == F.col("_ck"), "left_anti")
@@ -96,7 +96,8 @@ def _mapped(target: DataFrame, changes: DataFrame, deleted: str | None, reset: s
 
 
 def _sides(target: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides as one struct and the key each."""
+    """Both sides as one struct and the key each. A change without a key names no row and is left out."""
+    changes = changes.where(quoted(key).isNotNull())
     return (
         target.select(F.struct("*").alias("_t"), quoted(key).alias("_tk")),
         changes.select(F.struct("*").alias("_c"), quoted(key).alias("_ck")),
@@ -112,8 +113,9 @@ def _merged(
     reset: str | None,
 ) -> DataFrame:
     """The target's columns out of matched and unmatched pairs."""
-    hit, old, new = F.col("_ck").isNotNull(), F.col("_t"), F.col("_c")
-    fresh = F.col("_tk").isNull()
+    # Sides are told by their structs: a key may be NULL, a row of either side may not.
+    hit, old, new = F.col("_c").isNotNull(), F.col("_t"), F.col("_c")
+    fresh = F.col("_t").isNull()
     if reset:
         fresh = fresh | (hit & new.getField(reset))
     if deleted:

@@ -15,7 +15,7 @@ from tierspark.functions.names import quoted
 MALFORMED = "malformed JSON"
 
 # Where a message came from; carried through so that later steps can order and report rows.
-POSITION = ("_partition", "_offset")
+POSITION = ("_partition", "_offset", "_timestamp")
 
 
 @dataclass(frozen=True)

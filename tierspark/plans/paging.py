@@ -95,7 +95,7 @@ def _split_numbers(
     width = -(-(high - low + 1) // BUCKETS)
     kind = rows.schema[column].dataType
     # A division of doubles would lose digits of large keys.
-    bucket = ((rank - F.pmod(rank, F.lit(width))).cast("decimal(20,0)") / F.lit(width)).cast("bigint")
+    bucket = F.floor((rank.cast("decimal(20,0)") - F.lit(low)) / F.lit(width).cast("decimal(20,0)")).cast("bigint")
 
     def bound(value: int) -> Column:
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -104,7 +104,7 @@ def _split_numbers(
 
     def select(buckets: list) -> DataFrame:
         values = [c.b for c in buckets]
-        first, last = max(low, min(values) * width), min(high, (max(values) + 1) * width - 1)
+        first, last = low + min(values) * width, min(high, low + (max(values) + 1) * width - 1)
         return rows.where((quoted(column) >= bound(first)) & (quoted(column) <= bound(last)))
 
     return sorted(_counted(rows, bucket)), select

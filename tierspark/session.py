@@ -51,6 +51,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a written table is small enough to send to every executor, by the session's own limit."""
+    """Whether a written table is small enough to send to every executor, by the session's own limit.
+
+    Both its files and its rows in memory count: compressed files say little about the latter, so every
+    column of every row is taken as 32 bytes at least.
+    """
     limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+    files = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return files <= limit and df.count() * 32 * len(df.columns) <= limit

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tierspark.operators.changes import final_changes, latest_per_key
 from tierspark.operators.mapping import Mapping, accepted, map_messages, rejected
-from tierspark.streaming.keyed_log import append_batch, feed_changes, message_changes
+from tierspark.functions.times import utc_day
+from tierspark.streaming.keyed_log import ORDER, append_batch, batch_folder, feed_changes, message_changes
 
 # Applies one batch to a table that can be changed in place, such as those of
 # :mod:`tierspark.streaming.sinks`: rows to write (one per key), keys to remove before (or None), batch id.
@@ -31,8 +34,21 @@ def _start(
     return writer.start()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> Callable[[], str]:
+    """The running query's id, read from its checkpoint once a batch needs it.
+
+    The same checkpoint is the same stream; with a new one, batches count from 0 again under a new id.
+    """
+
+    @cache
+    def read() -> str:
+        return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+    return read
+
+
 def _mapped_batches(
-    messages: DataFrame, mapping: Mapping, rejects: str | None, write: Callable[[DataFrame, int], None]
+    messages: DataFrame, mapping: Mapping, rejects: str | None, stream_id: Callable[[], str], write: Callable[[DataFrame, int], None]
 ) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     """The mapped stream, and what to do with each of its batches.
 
@@ -47,7 +63,7 @@ def _mapped_batches(
         batch = batch.persist()
         try:
             write(accepted(batch, mapping), batch_id)
-            rejected(batch).write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
+            rejected(batch).write.mode("overwrite").parquet(batch_folder(rejects, stream_id(), batch_id))
         finally:
             batch.unpersist()
 
@@ -75,10 +91,12 @@ def topic_to_lake(
     very many rows are split.
     """
 
+    stream_id = _stream_id(messages.sparkSession, checkpoint)
+
     def write(rows: DataFrame, batch_id: int) -> None:
         rows = rows.select(*mapping.columns)
         if day_of:
-            rows = rows.withColumn("day", F.to_date(day_of))
+            rows = rows.withColumn("day", utc_day(rows, day_of))
         if rebalance:
             rows = rows.hint("rebalance", *(["day"] if day_of else []))
         out = rows.write.partitionBy("day") if day_of else rows.write
@@ -86,9 +104,9 @@ def topic_to_lake(
             out = out.format(format).option("txnAppId", checkpoint).option("txnVersion", batch_id)
             out.mode("append").save(lake)
         else:
-            out.format(format).mode("overwrite").save(f"{lake.rstrip('/')}/batch_id={batch_id}")
+            out.format(format).mode("overwrite").save(batch_folder(lake, stream_id(), batch_id))
 
-    stream, each = _mapped_batches(messages, mapping, rejects, write)
+    stream, each = _mapped_batches(messages, mapping, rejects, stream_id, write)
     return _start(stream, each, checkpoint, drain, interval, name)
 
 
@@ -108,14 +126,16 @@ def topic_to_table(
     table in place. Batches may run again after a crash; upserts by key do not mind.
     """
 
+    stream_id = _stream_id(messages.sparkSession, checkpoint)
+
     def write(rows: DataFrame, batch_id: int) -> None:
         if callable(table):
-            last = latest_per_key(rows, mapping.key, ["_offset", "_partition"])
+            last = latest_per_key(message_changes(rows), mapping.key, ORDER)
             table(last.select(*mapping.columns), None, batch_id)
         else:
-            append_batch(message_changes(rows), mapping, table, batch_id)
+            append_batch(message_changes(rows), mapping, table, stream_id(), batch_id)
 
-    stream, each = _mapped_batches(messages, mapping, rejects, write)
+    stream, each = _mapped_batches(messages, mapping, rejects, stream_id, write)
     return _start(stream, each, checkpoint, drain, interval, name)
 
 
@@ -134,9 +154,11 @@ def changes_to_table(
     row that came back starts over.
     """
 
+    stream_id = _stream_id(feed.sparkSession, checkpoint)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         if not callable(table):
-            append_batch(feed_changes(batch), mapping, table, batch_id)
+            append_batch(feed_changes(batch), mapping, table, stream_id(), batch_id)
             return
         final = final_changes(batch, mapping.columns, mapping.key).persist()
         try:
@@ -149,7 +171,15 @@ def changes_to_table(
 
 
 def drain(start: Callable[[], StreamingQuery], timeout: float | None = None) -> Sequence[dict]:
-    """Start a draining query, wait until it stops and return its progress reports."""
+    """Start a draining query, wait until it stops and return its latest progress reports.
+
+    Spark keeps as many as ``spark.sql.streaming.numRecentProgressUpdates`` says. A query that is not done
+    in time is stopped and raises: what it read so far is kept, and the next drain goes on from there.
+    """
     query = start()
-    query.awaitTermination(timeout) if timeout else query.awaitTermination()
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"the stream was not drained in {timeout} seconds")
     return query.recentProgress

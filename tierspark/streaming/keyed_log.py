@@ -1,7 +1,8 @@
 """A keyed table in plain files: every batch appends its changes, readers see the last state per key.
 
-Layout: ``<path>/batch_id=<n>/`` with the mapped columns, ``_major, _minor`` (the order of changes) and
-``_deleted``. A batch that runs again replaces its own folder, so a restart changes nothing. The order
+Layout: ``<path>/stream=<query id>/batch_id=<n>/`` with the mapped columns, ``_time, _major, _minor`` (the
+order of changes) and ``_deleted``. A batch that runs again replaces its own folder, so a restart changes
+nothing, and another stream into the same table has folders of its own. The order
 travels with the rows, hence it does not matter in which batch a change arrives.
 """
 
@@ -18,31 +19,40 @@ from tierspark.operators.changes import latest_per_key
 from tierspark.operators.mapping import Mapping
 from tierspark.operators.retention import prune
 
-ORDER = ["_major", "_minor"]
+ORDER = ["_time", "_major", "_minor"]
 
 
 def log_schema(mapping: Mapping) -> T.StructType:
     return T.StructType(
         [
             *mapping.schema.fields,
+            T.StructField("_time", T.LongType()),
             T.StructField("_major", T.LongType()),
             T.StructField("_minor", T.LongType()),
             T.StructField("_deleted", T.BooleanType()),
+            T.StructField("stream", T.StringType()),
             T.StructField("batch_id", T.LongType()),
         ]
     )
 
 
-def append_batch(changes: DataFrame, mapping: Mapping, path: str, batch_id: int) -> None:
+def batch_folder(path: str, stream: str, batch_id: int) -> str:
+    """The folder of one batch of one stream."""
+    return f"{path.rstrip('/')}/stream={stream}/batch_id={batch_id}"
+
+
+def append_batch(changes: DataFrame, mapping: Mapping, path: str, stream: str, batch_id: int) -> None:
     """Write one batch, reduced to one row per key, into its own folder."""
     last = latest_per_key(changes.select(*[quoted(c) for c in mapping.columns], *ORDER, "_deleted"), mapping.key, ORDER)
-    last.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    last.write.mode("overwrite").parquet(batch_folder(path, stream, batch_id))
 
 
 def message_changes(rows: DataFrame) -> DataFrame:
-    """Accepted messages as changes. Within a topic partition the offset decides, as on arrival."""
+    """Accepted messages as changes: their time decides where they have one, then the offset, then the partition."""
+    time = F.unix_micros("_timestamp") if "_timestamp" in rows.columns else F.lit(0)
     return rows.select(
         "*",
+        time.cast("bigint").alias("_time"),
         F.col("_offset").alias("_major"),
         F.col("_partition").cast("bigint").alias("_minor"),
         F.lit(False).alias("_deleted"),
@@ -54,6 +64,7 @@ def feed_changes(feed: DataFrame) -> DataFrame:
     removes = F.col("_change_type") == "delete"
     return feed.where(F.col("_change_type").isin("insert", "update_postimage", "delete")).select(
         "*",
+        F.lit(0).cast("bigint").alias("_time"),
         F.col("_commit_version").alias("_major"),
         F.when(removes, 0).otherwise(1).cast("bigint").alias("_minor"),
         removes.alias("_deleted"),
@@ -72,7 +83,7 @@ def read_keyed(spark: SparkSession, path: str, mapping: Mapping, base: str | Non
     shuffle of the base as long as Spark finds the changes small enough to broadcast.
     """
     columns = [quoted(c) for c in mapping.columns]
-    last = latest_per_key(read_log(spark, path, mapping).drop("batch_id"), mapping.key, ORDER)
+    last = latest_per_key(read_log(spark, path, mapping).drop("stream", "batch_id"), mapping.key, ORDER)
     current = last.where(~F.col("_deleted")).select(*columns)
     if base is None:
         return current
