@@ -19,7 +19,7 @@ def output_pairs(columns: Sequence[ColumnSpec]) -> list[tuple[str, str]]:
     seen: set[str] = set()
     for _, name in pairs:
         if name in seen:
-            raise ValueError(f"column {name!r} is shown twice")
+            raise ValueError(f"column {name!r} is a duplicate among the shown columns")
         seen.add(name)
     return pairs
 
