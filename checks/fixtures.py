@@ -33,6 +33,17 @@ MAPPING = Mapping(
     ],
 )
 
+EVENT_MAPPING = Mapping(
+    "event_id",
+    [
+        ("event_id", "event_id", "bigint"),
+        ("user_id", "user_id", "bigint"),
+        ("event_type", "event_type", "text"),
+        ("value", "value", "double"),
+        ("ts", "ts", "timestamptz"),
+    ],
+)
+
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "ts"]
 
 
@@ -200,6 +211,12 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def twice_written(feed: DataFrame) -> DataFrame:
+    """The feed with each change twice, the later one first in the file and with a value of 7 more."""
+    twice = feed.select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("_position"))
+    return twice.withColumn("value", F.col("value") + F.col("_position") * 7)
+
+
 def early_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed table that was filled before the change feed is applied."""
     return (

@@ -172,6 +172,10 @@ SELECT count(*) AS total, CAST(20 AS BIGINT) AS "limit", CAST(40 AS BIGINT) AS "
 FROM events
 """,
     "table_page": "SELECT * FROM events ORDER BY event_id LIMIT 50 OFFSET 100",
+    "table_page_deep_dates": """
+SELECT o_orderkey, o_orderdate::DATE AS day FROM orders ORDER BY day DESC, o_orderkey
+LIMIT 100 OFFSET (SELECT count(*) // 2 FROM orders)
+""",
     "lake_page": "SELECT o_orderkey, o_orderdate AS day FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10",
     "tiered_page": f"SELECT {VIEW} FROM events ORDER BY ts DESC, event_id LIMIT 20",
     "tiered_page_straddle": f"""
@@ -243,6 +247,16 @@ SELECT event_id, user_id FROM events WHERE user_id NOT IN (
     + "SELECT event_id, _change_type, _commit_version FROM feed WHERE _commit_version BETWEEN 10 AND 20",
     "change_apply": CHANGE_APPLY,
     "change_apply_incremental": CHANGE_APPLY,
+    "change_apply_repeated_keys": CHANGE_APPLY.replace("r.value,", "r.value + 7 AS value,"),
+    "feed_to_table": FEED
+    + """
+SELECT event_id, user_id, event_type, value, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id
+              ORDER BY _commit_version DESC, CASE WHEN _change_type = 'delete' THEN 0 ELSE 1 END DESC) AS back
+  FROM feed WHERE _change_type <> 'update_preimage')
+WHERE back = 1 AND _change_type <> 'delete'
+""",
+    "keyed_compacted": LATEST_MESSAGES,
     "change_cursor": FEED + "SELECT max(_commit_version) AS last_applied FROM feed WHERE _commit_version <= 20",
     "retention_prune": UNTIMED + f"SELECT * FROM untimed WHERE ts IS NULL OR ts >= {NOW} - INTERVAL 7 DAY",
     "retention_pruned_count": UNTIMED + f"SELECT count(*) AS pruned FROM untimed WHERE ts < {NOW} - INTERVAL 7 DAY",

@@ -18,14 +18,14 @@ from tierspark.operators.mapping import accepted, map_messages, reject_counts, r
 from tierspark.operators.retention import prune, pruned_count
 from tierspark.operators.status import job_status
 from tierspark.operators.views import column_view, describe_result
-from tierspark.plans.paging import page_summary, table_page, tiered_page
+from tierspark.plans.paging import Key, page, page_summary, table_page, tiered_page
 from tierspark.plans.tiers import age_window, tier_counts, tier_coverage, tiered_read, time_range
 from tierspark.session import shared_folder, written
 from tierspark.sources.change_feed import change_feed_range
 from tierspark.sources.stores import read_lake
 from tierspark.sources.topics import read_message_files
-from tierspark.streaming.ingest import drain, topic_to_lake, topic_to_table
-from tierspark.streaming.keyed_log import read_keyed
+from tierspark.streaming.ingest import changes_to_table, drain, topic_to_lake, topic_to_table
+from tierspark.streaming.keyed_log import compact, read_keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,13 @@ def q_table_page(spark, sf):
     return table_page(fx.events(spark, sf), ["event_id"], limit=50, offset=100)
 
 
+def q_table_page_deep_dates(spark, sf):
+    """A page in the middle of all orders, newest first, found by counting days."""
+    orders = read_lake(spark, f"{sf}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    fx.configure(spark)
+    return page(orders, [Key("day", descending=True), Key("o_orderkey")], 100, orders.count() // 2, direct_rows=1_000)
+
+
 def q_lake_page(spark, sf):
     fx.configure(spark)
     lake = read_lake(spark, f"{sf}/orders.parquet")
@@ -306,6 +313,12 @@ def q_change_apply_incremental(spark, sf):
     return _apply(spark, sf, [(-1, 9), (9, 20)])
 
 
+def q_change_apply_repeated_keys(spark, sf):
+    """Every new state is written twice in its commit, the second time with another value."""
+    feed = change_feed_range(fx.twice_written(fx.change_feed(spark, sf)), -1, 20)
+    return apply_changes(fx.early_target(spark, sf), feed, fx.EVENT_COLUMNS, "event_id")
+
+
 def q_change_cursor(spark, sf):
     applied = change_feed_range(fx.change_feed(spark, sf), -1, 20)
     return change_cursor(applied.select(F.col("_commit_version").alias("_applied_version")))
@@ -364,6 +377,30 @@ def q_two_topics_one_table(spark, sf):
     return naive(read_keyed(spark, _two_streams(spark, sf, topic_to_table), fx.MAPPING))
 
 
+def q_keyed_compacted(spark, sf):
+    """The repeats arrive first and are folded into a base; the first sendings come late, in another log."""
+    fx.configure(spark)
+    folder = shared_folder(spark, "topics")
+    messages = fx.messages(spark, sf)
+    for name, part in (("again", F.col("offset") >= fx.RESENT), ("first", F.col("offset") < fx.RESENT)):
+        messages.where(part).write.parquet(f"{folder}/{name}")
+        stream = read_message_files(spark, f"{folder}/{name}")
+        drain(lambda: topic_to_table(stream, fx.MAPPING, f"{folder}/{name}-log", f"{folder}/{name}-checkpoint", drain=True))  # noqa: B023
+    compact(spark, f"{folder}/again-log", fx.MAPPING, f"{folder}/base")
+    return naive(read_keyed(spark, f"{folder}/first-log", fx.MAPPING, f"{folder}/base"))
+
+
+def q_feed_to_table(spark, sf):
+    """The change feed as a stream into a keyed table, compacted; the covered log is still there when it is read."""
+    folder = shared_folder(spark, "feed")
+    feed = fx.change_feed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    feed.write.parquet(f"{folder}/feed")
+    stream = spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
+    drain(lambda: changes_to_table(stream, fx.EVENT_MAPPING, f"{folder}/table", f"{folder}/checkpoint", drain=True))
+    compact(spark, f"{folder}/table", fx.EVENT_MAPPING, f"{folder}/base")
+    return naive(read_keyed(spark, f"{folder}/table", fx.EVENT_MAPPING, f"{folder}/base"))
+
+
 def q_topic_drain_twice(spark, sf):
     """Half of the topic, a drain; the other half, a second drain; a third drain finds nothing new."""
     fx.configure(spark)

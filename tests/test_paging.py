@@ -101,6 +101,33 @@ def test_deep_pages_of_one_value(spark):
     assert page(df, [Key("n"), Key("t")], 5, 30, direct_rows=10).count() == 5
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize(
+    "key",
+    [
+        "date_add(date'1969-12-01', cast(id % 300 as int))",
+        "cast((id - 250) / 8 as decimal(9,3))",
+        "cast(id - 250 as decimal(18,0))",
+        "cast((id - 250) / 1000 as decimal(18,18))",
+        "cast(id - 300 as decimal(30,2))",
+        "id % 3 = 0",
+    ],
+)
+def test_deep_pages_by_other_types(spark, key, descending):
+    """A day twice, decimals below zero and at the limit of their digits, two values that hold all rows."""
+    df = spark.range(600).selectExpr(f"{key} k", "id").repartition(3)
+    order = [Key("k", descending), Key("id")]
+    want = list(map(tuple, df.orderBy(*[k.order() for k in order]).collect()))
+    for offset in (0, 25, 199, 330, 595):
+        assert list(map(tuple, page(df, order, 9, offset, direct_rows=20).collect())) == want[offset : offset + 9]
+
+
+def test_deep_pages_by_date_sort_few_rows(spark):
+    df = spark.range(5000).selectExpr("date_add(date'2000-01-01', cast(id as int)) d")
+    found = page(df, [Key("d")], 5, 4000, direct_rows=20)
+    assert "limit=40" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_deep_pages_by_double_are_sorted(spark):
     df = spark.range(500).selectExpr("cast(id as double) id")
     assert [r.id for r in page(df, [Key("id")], 2, 300, direct_rows=20).collect()] == [300.0, 301.0]

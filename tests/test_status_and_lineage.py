@@ -126,6 +126,15 @@ def test_cycles_are_refused(spark, pairs):
         lineage_layers(*graph(spark, pairs, ["a", "b", "x"]))
 
 
+def test_a_cycle_in_a_large_graph_is_named_at_once(spark):
+    pairs = [(f"a{i}", f"b{i}") for i in range(5000)] + [("b0", "a0"), ("b0", "tail"), ("nobody", "a1"), ("a2", None)]
+    names = [f"{side}{i}" for side in "ab" for i in range(5000)] + [None]
+    with pytest.raises(ValueError, match=r"\['a0', 'b0', 'tail'\]"):
+        lineage_layers(*graph(spark, pairs, names))
+    layers = lineage_layers(*graph(spark, [*pairs[1:5000], *pairs[5002:], pairs[1]], names))
+    assert {(r.layer, r["count"]) for r in layers.groupBy("layer").count().collect()} == {(0, 5001), (1, 4999)}
+
+
 def test_unknown_focus(spark):
     nodes, edges = graph(spark, [("a", "b")], ["a", "b"])
     around, among = lineage_subgraph(lineage_layers(nodes, edges), edges, "zzz")

@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tierspark.operators.changes import final_changes
 from tierspark.operators.mapping import Mapping
 from tierspark.operators.status import job_status
 from tierspark.session import shared_folder
 from tierspark.sources.stores import read_lake
 from tierspark.sources.topics import MESSAGE_SCHEMA, read_message_files
 from tierspark.streaming.ingest import changes_to_table, drain, topic_to_lake, topic_to_table
-from tierspark.streaming.keyed_log import compact, read_keyed, read_log
+from tierspark.streaming.keyed_log import compact, feed_changes, read_base, read_keyed, read_log
 from tierspark.streaming.progress import REPORT_SCHEMA, ProgressReports
 
 MAPPING = Mapping("k", [("k", "k", "int"), ("v", "v", "text"), ("at", "at", "timestamp")])
@@ -114,7 +115,8 @@ def test_change_feed_into_a_table_and_compaction(spark, tmp_path):
     assert commit(1, (1, "a", "update_preimage"), (1, "A", "update_postimage"), (2, None, "delete")) == {1: "A", 3: "c"}
     base = str(tmp_path / "base")
     compact(spark, table, MAPPING, base)
-    assert {r.k: r.v for r in spark.read.parquet(base).collect()} == {1: "A", 3: "c"}
+    held = {r.k: (r.v, r._deleted) for r in read_base(spark, base, MAPPING).collect()}
+    assert held == {1: ("A", False), 2: (None, True), 3: ("c", False)}
     # The base stands in for log folders that were removed.
     commit(2, (2, "again", "insert"), (2, None, "delete"), (3, None, "delete"), (4, "d", "insert"), (5, "e", "odd"))
     log = read_log(spark, table, MAPPING)
@@ -122,13 +124,41 @@ def test_change_feed_into_a_table_and_compaction(spark, tmp_path):
     log.where("batch_id = 2").drop("batch_id").write.parquet(f"{latest}/batch_id=2")
     assert {r.k: r.v for r in read_keyed(spark, latest, MAPPING, base).collect()} == {1: "A", 2: "again", 4: "d"}
     plan = read_keyed(spark, latest, MAPPING, base)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
-    compact(spark, latest, MAPPING, str(tmp_path / "base2"), base)
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "base2")).collect()} == {1: "A", 2: "again", 4: "d"}
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    covered = compact(spark, latest, MAPPING, str(tmp_path / "base2"), base)
+    assert [folder.rpartition("/")[2] for folder in covered] == ["batch_id=2"]
+    live = read_base(spark, str(tmp_path / "base2"), MAPPING).where("NOT _deleted")
+    assert {r.k: r.v for r in live.collect()} == {1: "A", 2: "again", 4: "d"}
     with pytest.raises(Exception, match="(?i)exists"):
         compact(spark, latest, MAPPING, base)
     compact(spark, latest, MAPPING, str(tmp_path / "pruned"), base, ("at", 1, datetime(2024, 1, 3)))
-    assert spark.read.parquet(str(tmp_path / "pruned")).isEmpty()
+    pruned = read_base(spark, str(tmp_path / "pruned"), MAPPING)
+    assert {(r.k, r.v, r._deleted) for r in pruned.collect()} == {(k, None, True) for k in (1, 2, 3, 4)}
+    # What was pruned does not come back from log folders that stay, nor what was deleted.
+    assert read_keyed(spark, table, MAPPING, str(tmp_path / "pruned")).isEmpty()
+    compact(spark, latest, MAPPING, str(tmp_path / "forgotten"), base, forget=F.col("_major") < 3)
+    assert {r.k for r in spark.read.parquet(str(tmp_path / "forgotten")).collect()} == {1, 2, 4}
+
+
+def test_a_replay_after_compaction_changes_nothing(spark, tmp_path):
+    topic, late = str(tmp_path / "topic"), str(tmp_path / "late")
+    first, second, base = (str(tmp_path / x) for x in ("first", "second", "base"))
+    start = lambda source, table, c: topic_to_table(read_message_files(spark, source), MAPPING, table, str(tmp_path / c), drain=True)
+    send(spark, topic, [(message(1, "new"), 0, 1_000_000)])
+    drain(lambda: start(topic, first, "c1"))
+    compact(spark, first, MAPPING, base)
+    send(spark, late, [(message(1, "old"), 0, 3), (message(2, "b"), 0, 4)])
+    drain(lambda: start(late, second, "c2"))
+    assert {r.k: r.v for r in read_keyed(spark, second, MAPPING, base).collect()} == {1: "new", 2: "b"}
+
+
+def test_repeated_keys_of_one_commit_follow_their_position(spark):
+    schema = "k int, v string, _change_type string, _commit_version bigint, _position int"
+    rows = [(1, "a", "insert", 0, 0), (1, "b", "insert", 0, 1), (2, "x", "delete", 0, 9), (2, "y", "insert", 0, 3)]
+    for order in (rows, rows[::-1]):
+        feed = spark.createDataFrame(order, schema).coalesce(1)
+        assert {r.k: r.v for r in final_changes(feed, ["k", "v"], "k").collect()} == {1: "b", 2: "y"}
+        assert {(r.v, r._minor) for r in feed_changes(feed).collect()} == {("a", 1), ("b", 2), ("x", 0), ("y", 4)}
 
 
 class Store:

@@ -138,10 +138,16 @@ def delete_by_key(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     )
 
 
+def change_position(feed: DataFrame) -> Column:
+    """The place of a change among those of its commit, from 0: the column ``_position`` where the feed has it."""
+    return F.coalesce(F.col("_position"), F.lit(0)) if "_position" in feed.columns else F.lit(0)
+
+
 def final_changes(feed: DataFrame, mapped: Sequence[str], key: str) -> DataFrame:
     """A range of a change feed as one row per key: ``mapped`` columns, ``_deleted`` and ``_reset``.
 
-    Changes are applied in commit order and, within one commit, deletes before writes. Old images and
+    Changes are applied in commit order and, within one commit, deletes before writes, those by
+    ``_position`` where the feed has it; without it one commit should write a key once. Old images and
     unknown change types are skipped. A change of the key itself leaves the row of the old key alone,
     because only the new image is looked at.
     """
@@ -152,7 +158,7 @@ def final_changes(feed: DataFrame, mapped: Sequence[str], key: str) -> DataFrame
         feed.where(F.col("_change_type").isin(*WRITES, DELETE))
         .groupBy(quoted(key).alias(key))
         .agg(
-            F.max_by(state, F.struct(F.col("_commit_version"), ~removes)).alias("_last"),
+            F.max_by(state, F.struct(F.col("_commit_version"), ~removes, change_position(feed))).alias("_last"),
             F.bool_or(removes).alias("_reset"),
         )
         .select(

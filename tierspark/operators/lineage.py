@@ -75,37 +75,39 @@ def lineage_nodes(
 def lineage_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The length of the longest path that leads to each node: ``(node, layer)``.
 
-    Round k holds the nodes at the end of a path of k edges that starts at a node without
-    predecessors; the last round a node appears in is its layer. Each round is written as a small
-    table, which keeps the plan short and lets the optimizer see the size of the next join. A cycle
-    never settles; it raises once there are more rounds than nodes.
+    Nodes are peeled off: each round takes those without open predecessors and lowers the count of open
+    predecessors of what follows them, so every edge is used once and there are as many rounds as layers.
+    A round is written as a table of the counts it changed, which keeps the plan short and shows the
+    optimizer the size of the next join. Nodes that are left over stand on or behind a cycle; that
+    raises, naming some. Edges from unknown nodes, and NULLs, are left out.
     """
     spark = nodes.sparkSession
     folder = shared_folder(spark, "lineage")
-    edges = written(edges.select("src", "dst"), f"{folder}/edges")
-    names = written(nodes.select("node"), f"{folder}/nodes")
-    starts = names.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-    frontier = written(starts.select("node", F.lit(0).cast("bigint").alias("layer")), f"{folder}/rounds/0")
-    rounds = [f"{folder}/rounds/0"]
-    most = names.count()
-    while not frontier.isEmpty():
-        if len(rounds) > most:
-            raise ValueError("lineage has a cycle: layers do not settle")
-        path = f"{folder}/rounds/{len(rounds)}"
-        reached = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
-        frontier = written(
-            reached.select(F.col("dst").alias("node"))
-            .distinct()
-            .select("node", F.lit(len(rounds)).cast("bigint").alias("layer")),
-            path,
-        )
+    nodes = nodes.select("node").where("node IS NOT NULL")
+    known = edges.select("src", "dst").where("dst IS NOT NULL").join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    edges = written(known, f"{folder}/edges")
+
+    def counted(rows: DataFrame, layer: int) -> DataFrame:
+        path = f"{folder}/rounds/{layer}"
         rounds.append(path)
-    visits = spark.read.schema(frontier.schema).parquet(*rounds)
-    deepest = written(visits.groupBy("node").agg(F.max("layer").alias("layer")), f"{folder}/layers")
-    unsettled = names.join(deepest, "node", "left_anti")
-    if not unsettled.isEmpty():
-        raise ValueError("lineage has a cycle: some nodes cannot be reached from a start")
-    return deepest
+        return written(rows.select("node", "open", F.lit(layer).cast("bigint").alias("layer")), path)
+
+    rounds: list[str] = []
+    named = nodes.select("node", F.lit(0).cast("bigint").alias("n"))
+    led_to = edges.select(F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n"))
+    changed = counted(named.union(led_to).groupBy("node").agg(F.sum("n").alias("open")), 0)
+    kind = changed.schema
+    while not (frontier := changed.where("open = 0")).isEmpty():
+        used = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
+        less = used.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        before = spark.read.schema(kind).parquet(*rounds).select("node", "open")
+        changed = counted(less.join(before, "node").groupBy("node").agg((F.min("open") - F.max("n")).alias("open")), len(rounds))
+    last = spark.read.schema(kind).parquet(*rounds)
+    taken = last.where("open = 0").select("node", "layer")
+    left = last.where("layer = 0").join(taken, "node", "left_anti").select("node").limit(5).collect()
+    if left:
+        raise ValueError(f"lineage has a cycle; among the nodes on or behind it: {sorted(str(r.node) for r in left)}")
+    return taken
 
 
 def _closure(edges: DataFrame, focus: str, source: str, target: str, folder: str) -> list[str]:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from decimal import Decimal
 from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Row
@@ -60,7 +61,8 @@ def page(
     are found without sorting: rows are counted in up to 1024 equal ranges of the first sort column
     (texts by the first character in which they differ), the range with the page is split again, and
     so on until few rows stand before the page. A value that alone holds more rows than that is split
-    by the next column. Only other types of column, such as doubles, are sorted whole.
+    by the next column. Whole numbers, decimals of up to 18 digits, times, dates, booleans and texts can
+    be split; only other types of column, such as doubles, are sorted whole.
     """
     if offset + limit > direct_rows:
         return _deep_page(df, list(order), limit, offset, direct_rows)
@@ -76,6 +78,12 @@ def _rank(df: DataFrame, column: str) -> Column | None:
         return F.unix_micros(quoted(column))
     if isinstance(kind, T.IntegralType):
         return quoted(column).cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(quoted(column)).cast("bigint")
+    if isinstance(kind, T.BooleanType):
+        return quoted(column).cast("bigint")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (quoted(column) * F.lit(Decimal(10**kind.scale))).cast("bigint")
     if kind.simpleString() == "string":
         return quoted(column)
     return None
@@ -100,6 +108,10 @@ def _split_numbers(
     def bound(value: int) -> Column:
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             return F.timestamp_micros(F.lit(value)).cast(kind)
+        if isinstance(kind, T.DateType):
+            return F.date_from_unix_date(F.lit(value))
+        if isinstance(kind, T.DecimalType):
+            return F.lit(Decimal(value).scaleb(-kind.scale)).cast(kind)
         return F.lit(value).cast(kind)
 
     def select(buckets: list) -> DataFrame:

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierspark.functions.names import quoted
-from tierspark.operators.changes import latest_per_key
+from tierspark.operators.changes import change_position, latest_per_key
 from tierspark.operators.mapping import Mapping
-from tierspark.operators.retention import prune
+from tierspark.operators.retention import expired
 
 ORDER = ["_time", "_major", "_minor"]
 
@@ -60,13 +60,14 @@ def message_changes(rows: DataFrame) -> DataFrame:
 
 
 def feed_changes(feed: DataFrame) -> DataFrame:
-    """Change feed rows as changes: commit order, deletes before writes of the same commit."""
+    """Change feed rows as changes: commit order, deletes before writes of the same commit, then position."""
     removes = F.col("_change_type") == "delete"
+    position = change_position(feed)
     return feed.where(F.col("_change_type").isin("insert", "update_postimage", "delete")).select(
         "*",
         F.lit(0).cast("bigint").alias("_time"),
         F.col("_commit_version").alias("_major"),
-        F.when(removes, 0).otherwise(1).cast("bigint").alias("_minor"),
+        F.when(removes, 0).otherwise(1 + position).cast("bigint").alias("_minor"),
         removes.alias("_deleted"),
     )
 
@@ -75,22 +76,31 @@ def read_log(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
     return spark.read.schema(log_schema(mapping)).parquet(path)
 
 
+def read_base(spark: SparkSession, base: str, mapping: Mapping) -> DataFrame:
+    """What :func:`compact` wrote: one row per key with its place in the order; deleted keys are marked."""
+    fields = [f for f in log_schema(mapping).fields if f.name not in ("stream", "batch_id")]
+    rows = spark.read.schema(T.StructType(fields)).parquet(base)
+    return rows.withColumn("_deleted", F.coalesce("_deleted", F.lit(False)))
+
+
+def _last(log: DataFrame, base: DataFrame | None, key: str) -> DataFrame:
+    """The last state of every key in log and base, deleted ones too. Of equal places the base's counts."""
+    rows = log.drop("stream", "batch_id").withColumn("_settled", F.lit(False))
+    if base is not None:
+        rows = rows.unionByName(base.withColumn("_settled", F.lit(True)))
+    return latest_per_key(rows, key, [*ORDER, "_settled"]).drop("_settled")
+
+
 def read_keyed(spark: SparkSession, path: str, mapping: Mapping, base: str | None = None) -> DataFrame:
     """The table's current rows.
 
-    With ``base``, a table written by :func:`compact`, the log only has to hold what came later. It is
-    reduced to one row per key first; the base is then filtered by those keys in place, without a
-    shuffle of the base as long as Spark finds the changes small enough to broadcast.
+    With ``base``, written by :func:`compact`, the log only has to hold what came later. Both carry the
+    order of changes and go through one aggregate, so the log may still hold what the base covers, and a
+    change that comes late or again is no newer than it is.
     """
-    columns = [quoted(c) for c in mapping.columns]
-    last = latest_per_key(read_log(spark, path, mapping).drop("stream", "batch_id"), mapping.key, ORDER)
-    current = last.where(~F.col("_deleted")).select(*columns)
-    if base is None:
-        return current
-    kept = spark.read.schema(mapping.schema).parquet(base).join(
-        last.select(quoted(mapping.key).alias(mapping.key)), mapping.key, "left_anti"
-    )
-    return kept.select(*columns).unionByName(current)
+    settled = None if base is None else read_base(spark, base, mapping)
+    last = _last(read_log(spark, path, mapping), settled, mapping.key)
+    return last.where(~F.col("_deleted")).select(*[quoted(c) for c in mapping.columns])
 
 
 def compact(
@@ -100,12 +110,21 @@ def compact(
     target: str,
     base: str | None = None,
     retention: tuple[str, int, datetime] | None = None,
-) -> None:
-    """Write the current rows to ``target``, a new base. Log folders it covers may be removed afterwards.
-
-    ``retention`` (time column, days, now) leaves out rows that are too old.
+    forget: Column | None = None,
+) -> list[str]:
+    """Write the last state of every key to ``target``, a new base, and return the log folders it covers.
+
+    Those folders may be removed afterwards; folders that streams add meanwhile are not among them.
+    ``retention`` (time column, days, now) deletes rows that are too old. Deleted keys stay in the base
+    without their contents, so that older changes do not bring them back; ``forget`` is a condition on
+    ``_time, _major, _minor`` for deletions so old that no earlier change can come any more.
     """
-    rows = read_keyed(spark, path, mapping, base)
+    log = read_log(spark, path, mapping)
+    last = _last(log, None if base is None else read_base(spark, base, mapping), mapping.key)
     if retention:
-        rows = prune(rows, *retention)
-    rows.write.mode("errorifexists").parquet(target)
+        last = last.withColumn("_deleted", F.col("_deleted") | F.coalesce(expired(last, *retention), F.lit(False)))
+    if forget is not None:
+        last = last.where(~(F.col("_deleted") & F.coalesce(forget, F.lit(False))))
+    contents = [F.when(~F.col("_deleted"), quoted(c)).alias(c) for c in mapping.columns if c != mapping.key]
+    last.select(quoted(mapping.key), *contents, *ORDER, "_deleted").write.mode("errorifexists").parquet(target)
+    return sorted({file.rpartition("/")[0] for file in log.inputFiles()})
