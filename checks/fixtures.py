@@ -81,6 +81,26 @@ def untimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 101 != 0, F.col("ts")))
 
 
+def differing_tiers(spark: SparkSession, sf_dir: str) -> list[Tier]:
+    """Two tables that both hold all events: the recent one has other column names, and 1000 more in each value.
+
+    One event in 101 has no time, one in 103 lies exactly on the border, one in 107 in the future.
+    """
+    n, stamp = F.col("event_id"), lambda text: F.lit(text).cast("timestamp_ntz")
+    moved = F.when(n % 101 == 0, F.col("ts")).when(n % 103 == 0, stamp("2024-01-24 00:00:00"))
+    ts = moved.when(n % 107 == 0, stamp("2024-03-01 00:00:00")).otherwise(F.col("ts"))
+    rows = untimed_events(spark, sf_dir).withColumn("ts", ts)
+    recent = rows.select(
+        n.alias("number"), F.col("user_id").alias("who"), F.col("event_type").alias("what"),
+        (F.col("value") + 1000).alias("amount"), F.col("ts").alias("at"),
+    )
+    names = [("number", "id"), ("who", "user_id"), ("what", "kind"), ("amount", "value"), ("at", "occurred_at")]
+    return [
+        Tier("history", rows, VIEW, "ts", min_age="7d"),
+        Tier("recent", recent, names, "at", max_age="7d"),
+    ]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores. The given table is one file with one row group, hence one task; a topic comes in many."""
     cores = df.sparkSession.sparkContext.defaultParallelism

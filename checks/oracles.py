@@ -5,6 +5,18 @@ from __future__ import annotations
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 VIEW = "event_id AS id, user_id, event_type AS kind, value, ts AS occurred_at"
 
+DIFFERING = f"""
+WITH timed AS (
+  SELECT event_id, user_id, event_type, value,
+         CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 103 = 0 THEN {NOW} - INTERVAL 7 DAY
+              WHEN event_id % 107 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE ts END AS ts
+  FROM events),
+view AS (
+  SELECT event_id AS id, user_id, event_type AS kind, ts AS occurred_at,
+         CASE WHEN ts > {NOW} - INTERVAL 7 DAY THEN value + 1000 ELSE value END AS value
+  FROM timed WHERE ts IS NOT NULL)
+"""
+
 RULES = "CASE " + " ".join(f"WHEN event_id % {k} = 0 THEN {k}" for k in (97, 89, 83, 79, 73, 71, 67, 61, 59)) + " ELSE 0 END"
 
 MESSAGES = f"""
@@ -150,6 +162,12 @@ SELECT * FROM events WHERE {NOW} - ts >= INTERVAL 36 HOUR AND {NOW} - ts < INTER
 """,
     "tiered_read": f"SELECT {VIEW} FROM events",
     "tiered_read_three": f"SELECT {VIEW} FROM events",
+    "tiered_read_differing": DIFFERING + "SELECT * FROM view",
+    "tiered_page_differing": DIFFERING
+    + f"""
+SELECT * FROM view ORDER BY occurred_at DESC, id
+LIMIT 100 OFFSET (SELECT count(*) - 50 FROM timed WHERE ts > {NOW} - INTERVAL 7 DAY)
+""",
     "tier_counts": f"""
 SELECT CASE WHEN {NOW} - ts < INTERVAL 7 DAY THEN 'hot' WHEN {NOW} - ts < INTERVAL 14 DAY THEN 'warm' ELSE 'cold' END
          AS tier, count(*) AS "rows"
@@ -247,6 +265,7 @@ SELECT event_id, user_id FROM events WHERE user_id NOT IN (
     + "SELECT event_id, _change_type, _commit_version FROM feed WHERE _commit_version BETWEEN 10 AND 20",
     "change_apply": CHANGE_APPLY,
     "change_apply_incremental": CHANGE_APPLY,
+    "change_apply_resumed": CHANGE_APPLY,
     "change_apply_repeated_keys": CHANGE_APPLY.replace("r.value,", "r.value + 7 AS value,"),
     "feed_to_table": FEED
     + """

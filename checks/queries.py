@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from checks import fixtures as fx
 from tierspark.functions import payloads
 from tierspark.functions.display import binary_to_string
-from tierspark.operators.changes import apply_changes, change_cursor, delete_by_key, latest_per_key, upsert, upsert_batch
+from tierspark.operators.changes import apply_changes, apply_next, change_cursor, delete_by_key, latest_per_key, upsert, upsert_batch
 from tierspark.operators.lineage import lineage_edges, lineage_layers, lineage_nodes, lineage_subgraph
 from tierspark.operators.mapping import accepted, map_messages, reject_counts, rejected
 from tierspark.operators.retention import prune, pruned_count
@@ -73,6 +73,18 @@ def q_tiered_read_three(spark, sf):
     return tiered_read(fx.three_tiers(spark, sf), fx.NOW)
 
 
+def q_tiered_read_differing(spark, sf):
+    """Tiers of different tables with the same events: each row must come from the table its time belongs to."""
+    return tiered_read(fx.differing_tiers(spark, sf), fx.NOW)
+
+
+def q_tiered_page_differing(spark, sf):
+    """A page over the border of such tiers, where many rows have the same time."""
+    tiers = fx.differing_tiers(spark, sf)
+    recent = tier_counts(tiers, fx.NOW).where("tier = 'recent'").first()["rows"]
+    return tiered_page(tiers, fx.NOW, ["id"], limit=100, offset=recent - 50)
+
+
 def q_tier_counts(spark, sf):
     return tier_counts(fx.three_tiers(spark, sf), fx.NOW)
 
@@ -319,6 +331,16 @@ def q_change_apply_repeated_keys(spark, sf):
     return apply_changes(fx.early_target(spark, sf), feed, fx.EVENT_COLUMNS, "event_id")
 
 
+def q_change_apply_resumed(spark, sf):
+    """Up to version 9, then up to 20, then the same once more; where to go on is read from the target."""
+    feed, target = fx.change_feed(spark, sf), fx.early_target(spark, sf)
+    target = target.withColumn("_applied_version", F.lit(None).cast("bigint"))
+    for current in (9, 20, 20):
+        part = change_feed_range(feed, -1, current)
+        target = written(apply_next(target, part, fx.EVENT_COLUMNS, "event_id"), shared_folder(spark, "target"))
+    return target.drop("_applied_version")
+
+
 def q_change_cursor(spark, sf):
     applied = change_feed_range(fx.change_feed(spark, sf), -1, 20)
     return change_cursor(applied.select(F.col("_commit_version").alias("_applied_version")))

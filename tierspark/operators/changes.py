@@ -184,6 +184,26 @@ def apply_changes(
     )
 
 
+def apply_next(
+    target: DataFrame,
+    feed: DataFrame,
+    mapped: Sequence[str],
+    key: str,
+    defaults: Named[str, Column] | None = None,
+    batch: bool = False,
+    version: str = "_applied_version",
+) -> DataFrame:
+    """``target`` after the changes it has not seen; its column ``version`` takes that of each row's last change.
+
+    The rows tell what was seen: nothing up to the highest version among them is applied again. Later
+    changes that left no row, such as deletes, are, and change nothing. Only that one number is read
+    at once, so pass a ``target`` that is a table rather than a long plan.
+    """
+    last = change_cursor(target, version).first()["last_applied"]
+    unseen = feed.where(F.col("_commit_version") > last).withColumn(version, F.col("_commit_version"))
+    return apply_changes(target, unseen, [*mapped, version], key, defaults, batch)
+
+
 def change_cursor(applied: DataFrame, version: str = "_applied_version") -> DataFrame:
     """The last applied version; -1 if nothing was applied yet, so that reading starts at version 0."""
     return applied.agg(F.coalesce(F.max(quoted(version)), F.lit(-1)).cast("bigint").alias("last_applied"))
