@@ -201,6 +201,7 @@ class Encoder:
         self._numbers: dict[str, int] = {}
         self._words: dict[str, bytes] = {}
         self._ids, self._starts, self._lengths = array("I"), array("q"), array("q")
+        pa.default_memory_pool().release_unused()  # idle workers wait for other tasks
 
     def _plain_words(self, piece: str) -> list[str]:
         if not self.vocabulary.end:
