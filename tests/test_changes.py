@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tierspark.operators.changes import apply_changes, change_cursor, delete_by_key, final_changes, latest_per_key, upsert, upsert_batch
+from tierspark.operators.changes import apply_changes, apply_next, change_cursor, delete_by_key, final_changes, latest_per_key, upsert, upsert_batch
 from tierspark.sources.change_feed import change_feed_range
 
 FEED = "k int, v string, _change_type string, _commit_version bigint"
@@ -126,3 +126,19 @@ def test_range_and_cursor(spark):
     assert change_feed_range(feed, 6, 6).count() == change_feed_range(feed, 6, 5).count() == 0
     assert change_cursor(feed).first()[0] == 9
     assert change_cursor(feed.limit(0)).first()[0] == -1
+
+
+def test_changes_resume_after_the_versions_in_the_target(spark):
+    target = spark.createDataFrame([(1, "a", 3), (2, "b", None)], "k int, v string, _applied_version bigint")
+    rows = [(1, "old", "insert", 3), (2, "B", "update_postimage", 4), (3, "c", "insert", 5), (1, None, "delete", 6)]
+    once = apply_next(target, spark.createDataFrame(rows, FEED), ["k", "v"], "k")
+    want = [(2, "B", 4), (3, "c", 5)]
+    assert sorted(map(tuple, once.collect())) == want
+    again = apply_next(once, spark.createDataFrame(rows, FEED), ["k", "v"], "k")  # only the delete is beyond version 5
+    assert sorted(map(tuple, again.collect())) == want
+
+
+def test_an_empty_target_takes_the_whole_feed(spark):
+    target = spark.createDataFrame([], "k int, v string, _applied_version bigint")
+    feed = spark.createDataFrame([(1, "a", "insert", 0), (2, "b", "insert", 1), (2, None, "delete", 2)], FEED)
+    assert apply_next(target, feed, ["k", "v"], "k").collect() == [(1, "a", 0)]
