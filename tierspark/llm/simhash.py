@@ -35,18 +35,23 @@ SEGMENT_BITS = BITS // SEGMENTS
 BLOCK = 2048
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles; A-Z count as a-z, words end at ASCII white space."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash per word shingle of a text; A-Z count as a-z, words end at ASCII white space."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(shingle, len(words))
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles; 0 for a text without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         part = hashes[first : first + (1 << 16)]
