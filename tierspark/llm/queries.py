@@ -22,7 +22,18 @@ PLACES = (
     PlaceRule("com/fr/", ALLOW),
     PlaceRule("com/de/", BLOCK),
 )
-PATTERNS = tuple(PatternRule(p) for p in ("^casino-win^", "^cheap-pills^", "^adult-x^", "^free-*-download^"))
+PATTERNS = tuple(
+    PatternRule(f"^{name}^")
+    for name in (
+        "casino-win", "casino", "casinos", "free-bets", "bets", "betting", "bookmaker", "bookmakers", "sportsbook", "poker",
+        "blackjack", "roulette", "baccarat", "jackpot", "slot-machine", "slot-machines", "free-spins", "online-slots",
+        "cheap-pills", "diet-pills", "sleeping-pills", "buy-pills", "online-pharmacy", "cheap-meds", "no-prescription",
+        "viagra", "cialis", "levitra", "tramadol", "xanax", "oxycontin", "hydrocodone", "phentermine",
+        "adult-x", "adult-video", "adult-videos", "adult-dating", "adult-chat", "xxx", "porn", "porno", "sex-cam",
+        "sex-cams", "sex-chat", "sex-videos", "live-sex", "webcam-girls", "nude-girls", "escort-girls", "hentai",
+        "free-porn", "hookup", "hookups",
+    )
+)
 
 
 def op1_top_k(spark: SparkSession, sf: str) -> DataFrame:
