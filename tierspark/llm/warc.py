@@ -1,12 +1,16 @@
 """WARC derivatives: linked metadata and plain-text conversion records of response records.
 
-Everything is native expressions; a record is a row until :func:`write_warc` lays it into files. Records
+Everything but character references is native expressions; a record is a row until :func:`write_warc` lays it into files. Records
 keep the response's identifier (``WARC-Refers-To``), address, date, HTTP header lines and payload digest.
 Identifiers of derivatives follow from the response's, so a job that runs again makes the same records.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +31,31 @@ LINES = (
     r"|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
 )
 TAGS = r"<[^>]*>"
+# Only the SQL still knows no more than these; :func:`with_text` resolves all.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: markup removed, block elements on lines of their own, common entities resolved."""
-    text = html
+def with_text(rows: DataFrame, html: str, text: str) -> DataFrame:
+    """``rows`` with the text of the page instead of the page.
+
+    Markup is removed, block elements stand on lines of their own, and all character references of HTML are
+    resolved, each once; no-break spaces count as spaces.
+    """
+    seen = F.col(html)
     for pattern in UNSEEN:
-        text = F.regexp_replace(text, pattern, "")
-    text = F.regexp_replace(F.regexp_replace(text, LINES, "\n"), TAGS, "")
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+        seen = F.regexp_replace(seen, pattern, "")
+    seen = F.regexp_replace(F.regexp_replace(seen, LINES, "\n"), TAGS, "")
+    rows = rows.withColumn(text, seen).drop(html)
+    place = rows.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            resolved = [value and unescape(value) for value in batch.column(place).to_pylist()]
+            yield batch.set_column(place, text, pa.array(resolved, pa.string()))
+
+    spaced = F.regexp_replace(text, r"[ \t\r\f\x0B\u00A0]+", " ")
+    lines = F.regexp_replace(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return rows.mapInArrow(run, rows.schema).withColumn(text, lines)
 
 
 def digest(data: Column) -> Column:
@@ -84,7 +100,7 @@ def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
     Columns: ``key, record_type, record_id, refers_to, concurrent_to, target_uri, date, content_type,
     content_length, payload_digest`` (of the source), ``block_digest, block``. No row is moved.
     """
-    text = responses.withColumn("_text", plain_text(F.col("payload")))
+    text = with_text(responses, "payload", "_text")
     lines = F.concat_ws(
         END,
         F.concat(F.lit("source-record: "), F.col("record_id")),
