@@ -80,10 +80,37 @@ SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, co
 FROM records
 """
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+DECONTAMINATION = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+cut AS (
+  SELECT item_id, words, least(10, len(words)) AS size, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos
+  FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, size, list_slice(words, pos, pos + size - 1) AS w FROM cut),
+places AS (
+  SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+  FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size),
+met AS (
+  SELECT DISTINCT rid, item_id, pos, size FROM (SELECT rid, size, pos, list_slice(words, pos, pos + size - 1) AS w FROM places)
+  JOIN windows USING (size, w)),
+hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM met) GROUP BY rid),
+named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM met WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+"""
 
 ORACLES: dict[str, str] = {
     "op1_top_k": TOP_K,
     "op2_exact_dedup": EXACT_DEDUP,
     "op3_url_rules": _url_rules(),
     "op10_warc": _warc(),
+    "op11_decontamination": DECONTAMINATION,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierspark.llm import bitpack, bpe_trie, crf_pii, golomb_dedup, nbsvm, packing, simhash, topk, url_rules, warc
+from tierspark.llm import bitpack, bpe_trie, crf_pii, golomb_dedup, nbsvm, packing, simhash, topk, url_rules, warc, wu_manber
 from tierspark.llm.common import pick, table
 from tierspark.llm.url_rules import ALLOW, BLOCK, PatternRule, PlaceRule
 
@@ -81,6 +81,18 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf, "pages"))).drop("block", "date")
 
 
+def op11_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = wu_manber.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
