@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierspark.llm import bitpack, bpe_trie, crf_pii, golomb_dedup, nbsvm, packing, simhash, topk, url_rules, warc, wu_manber
+from tierspark.llm import bitpack, bpe_trie, crf_pii, golomb_dedup, hard_negatives, nbsvm, packing, simhash, topk, url_rules, warc, wu_manber
 from tierspark.llm.common import pick, table
 from tierspark.llm.url_rules import ALLOW, BLOCK, PatternRule, PlaceRule
 
@@ -93,6 +93,15 @@ def op11_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pick(table(spark, sf, "embeddings"), id="vec_id", label="label", vector="embedding")
+    finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("vector", lambda x: F.floor(x.cast("double") * 256))
+    good = rows.where(F.col("vector").isNotNull() & finite).select("id", label.alias("label"), vector.alias("vector"))
+    return hard_negatives.hard_negatives(good, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
