@@ -126,6 +126,36 @@ WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 9
 QUALIFY rank <= 3
 """
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), {_LETTERS}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, 1 AS size, w[i] AS phrase FROM places
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM places WHERE i < len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 1 < len(w)),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+split AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM split c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT o.* FROM lowest o LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 50 * o.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_top_k": TOP_K,
     "op2_exact_dedup": EXACT_DEDUP,
@@ -133,4 +163,5 @@ ORACLES: dict[str, str] = {
     "op10_warc": _warc(),
     "op11_decontamination": DECONTAMINATION,
     "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_collocations": COLLOCATIONS,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierspark.llm import bitpack, bpe_trie, crf_pii, golomb_dedup, hard_negatives, nbsvm, packing, simhash, topk, url_rules, warc, wu_manber
+from tierspark.llm import bitpack, bpe_trie, crf_pii, golomb_dedup, hard_negatives, nbsvm, packing, simhash, stripes, topk, url_rules, warc, wu_manber
 from tierspark.llm.common import pick, table
 from tierspark.llm.url_rules import ALLOW, BLOCK, PatternRule, PlaceRule
 
@@ -102,6 +102,10 @@ def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives.hard_negatives(good, F.col("id") % 50 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return stripes.collocations(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
