@@ -27,6 +27,8 @@ from tierspark.llm.common import pick, shared_folder, stored
 RUN = 1 << 17
 PER_OWNER = 1 << 20
 LEAST_OWNERS = 64
+# Bits per suspect fingerprint in the bitset that chooses the texts to be moved, and its most bitmaps of 4 KB.
+BITS_EACH, MOST_BITMAPS = 32, 1 << 13
 HEADER = np.dtype([("n", "<i8"), ("unary_bits", "<i8"), ("remainder_bits", "<i8")])
 
 
@@ -78,7 +80,11 @@ def _send(rows: DataFrame, owner_bits: int, key_type: pa.DataType) -> DataFrame:
     def table(n: int, **columns: object) -> pa.RecordBatch:
         filled = [columns.get(f.name) for f in target]
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(filled, target)], schema=target
+            [
+                pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                for c, f in zip(filled, target)
+            ],
+            schema=target,
         )
 
     def lists(part: int, found: list[np.ndarray]) -> pa.RecordBatch:
@@ -134,24 +140,42 @@ def _answers(codes: DataFrame, owner_bits: int) -> DataFrame:
 def _marked(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Every row with ``suspect``, from the answers to its task."""
 
-    def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        answers = answers.sort_values("owner")
+    def mark(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("owner")
         parts = [
-            np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(answers["marks"], answers["n"].tolist())
+            np.unpackbits(np.frombuffer(m, np.uint8), count=n)
+            for m, n in zip(answers["marks"].to_pylist(), answers["n"].to_pylist())
         ]
         own = rows["fp"].to_numpy().view(np.uint64)
         _, places, counts = np.unique(own, return_inverse=True, return_counts=True)
         suspect = (np.concatenate(parts) > 0)[places] | (counts[places] > 1)
-        return pd.DataFrame({"_key": rows["_key"], "fp": rows["fp"], "sha": rows["sha"], "suspect": suspect})
+        return rows.select(["_key", "fp", "sha"]).append_column("suspect", pa.array(suspect))
 
     key = rows.schema["_key"].dataType.simpleString()
     return (
         rows.groupBy("part")
         .cogroup(answers.groupBy("part"))
-        .applyInPandas(mark, f"_key {key}, fp bigint, sha binary, suspect boolean")
+        .applyInArrow(mark, f"_key {key}, fp bigint, sha binary, suspect boolean")
     )
 
 
+def _may_be_in(fps: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``fp`` may be among ``fps``, by a bitset of bounded size that every task gets.
+
+    Nothing that is among them is left out. Bitmaps of 4 KB cover 2^15 bits each; they are as many as give
+    :data:`BITS_EACH` bits to a fingerprint, but :data:`MOST_BITMAPS` (32 MB) at most.
+    """
+    most = fps.count() * BITS_EACH >> 15
+    bits = min(MOST_BITMAPS, 1 << most.bit_length()) << 15
+    place = F.col("fp").bitwiseAND(F.lit(bits - 1))
+    placed = F.shiftright(place, 15).alias("_map"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("_bit")
+    bitmaps = fps.select(*placed).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    near = rows.select("*", *placed).join(F.broadcast(bitmaps), "_map")
+    byte = "CAST(conv(hex(substr(_bits, CAST(_bit >> 3 AS int) + 1, 1)), 16, 10) AS int)"
+    held = F.expr(f"({byte} >> CAST(_bit & 7 AS int)) & 1 = 1")
+    return near.where(held).select(*rows.columns)
+
+
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, keep_id, group_size, kept, text_sha256)`` for every row of ``docs``.
 
@@ -172,10 +196,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     codes = exchanged.where("kind = 1").select("part", "owner", "code")
     marked = stored(_marked(own, _answers(codes, owner_bits)), "suspects")
 
+    # Only texts that may be suspects are moved; those that pass by chance meet no suspect below.
     suspects = marked.where("suspect")
-    wanted = suspects.select(F.col("_key").alias("_k"), F.col("fp").alias("_f")).distinct()
-    texts = rows.withColumn("fp", F.xxhash64("_norm"))
-    moved = texts.join(wanted, texts["_key"].eqNullSafe(wanted["_k"]) & (texts["fp"] == wanted["_f"]), "left_semi")
+    moved = _may_be_in(stored(suspects.select("fp").distinct(), "suspects"), rows.withColumn("fp", F.xxhash64("_norm")))
     verified = moved.groupBy("fp", "_norm").agg(F.min("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = verified.select("fp", F.unhex(F.sha2("_norm", 256)).alias("sha"), "keep_id", "group_size")
     copied = suspects.join(groups, ["fp", "sha"]).select("_key", "keep_id", "group_size", "sha")
