@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierspark.llm.bpe_trie import encoder
-from tierspark.llm.common import pick, shared_folder, sliced
+from tierspark.llm.common import pick, shared_folder, sliced, stored
 
 BLOCK = 4096
 SEGMENT = 1 << 18
@@ -124,7 +124,7 @@ def write_ids(
                 row = [shard, segment, first, len(part), width, BLOCK, blocks, keys[at:upto], starts, payload]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
                 first, segment, at = first + len(part), segment + 1, upto
-        encoder(path, library=True).forget()
+        encoder(path, library=True).forget(words=False)  # the next task need not learn the same words again
 
     dealt = rows.repartitionByRange(shards, F.col("_key").asc_nulls_first()).sortWithinPartitions(
         F.col("_key").asc_nulls_first(), F.xxhash64("_text")
@@ -138,7 +138,8 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("base"))
-    return segments.join(bases, "shard")
+    # Written first, so that Spark knows their size: while that is within its limit for broadcasts, no payload is moved.
+    return segments.join(stored(bases, "bases"), "shard")
 
 
 def documents_in(spark: SparkSession, folder: str, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:

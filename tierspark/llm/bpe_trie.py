@@ -196,10 +196,11 @@ class Encoder:
         self._model = Tokenizer.from_file(path).model if library else None
         self.forget()
 
-    def forget(self) -> None:
-        """Let go of all pieces, at the end of a task or when there are too many."""
+    def forget(self, words: bool = True) -> None:
+        """Let go of all pieces, at the end of a task or when there are too many, and of all words if asked for."""
         self._numbers: dict[str, int] = {}
-        self._words: dict[str, bytes] = {}
+        if words:
+            self._words: dict[str, bytes] = {}
         self._ids, self._starts, self._lengths = array("I"), array("q"), array("q")
         pa.default_memory_pool().release_unused()  # idle workers wait for other tasks
 
