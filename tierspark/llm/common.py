@@ -35,8 +35,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that losing an executor does not undo it."""
-    return written(df, shared_folder(df.sparkSession, purpose))
+    """``df`` written to the shared folder and read again, so that losing an executor does not undo it.
+
+    Files cannot hold columns whose names differ in case only; there, and so only there, columns have numbers.
+    """
+    names, folder = df.columns, shared_folder(df.sparkSession, purpose)
+    if len({name.lower() for name in names}) == len(names):
+        return written(df, folder)
+    return written(df.toDF(*[f"_{i}" for i in range(len(names))]), folder).toDF(*names)
 
 
 # Bytes of text that are worked on at once, and rows that Spark hands to Python at once: whole texts are

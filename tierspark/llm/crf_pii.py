@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tierspark.llm.common import bounded, pick, sliced
 
@@ -102,8 +103,18 @@ DIGITS, LETTERS, ANY = re.compile("[0-9]+"), re.compile(r"[^\W\d_]+"), re.compil
 MIXED = re.compile("(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
 
 
+# Runs of a word that its shape spells out; what stands behind them is only summed up.
+SPELLED = 16
+# In place of the tag of a word with more runs, which is tagged in parts: what stands between these marks.
+COMPOUND = -1
+PART = re.compile(r"""[^\s,;"'{}&|<>]+""")
+
+
 def shape(word: str) -> str:
-    """A word with its letters and digits replaced by their kinds and rough lengths."""
+    """A word with its letters and digits replaced by their kinds and rough lengths.
+
+    Behind an ellipsis follows what the coarser views need to know of the runs that are not spelled out.
+    """
     if word.isalpha():
         return "w"
     first, last = trimmed(word)
@@ -112,7 +123,7 @@ def shape(word: str) -> str:
         return "w"
     parts = []
     at = 0
-    while at < len(core) and len(parts) < 16:
+    while at < len(core):
         run = MIXED.match(core, at)
         if run:
             parts.append("M")
@@ -125,14 +136,19 @@ def shape(word: str) -> str:
             run = ANY.match(core, at)
             parts.append(run[0] if run[0].isascii() else "~")
         at = run.end()
-    return "".join(parts)
+    spelled, rest = "".join(parts[:SPELLED]), "".join(parts[SPELLED:])
+    if not rest:
+        return spelled
+    views = ["." * min(rest.count("."), 4), "9" * min(sum(c in "95DCL" for c in rest), 4)]
+    views += [c for c in ("@", "C", "M") if c in rest] + ["(a" if "(a" in rest or "[a" in rest else "a" if "a" in rest else ""]
+    return spelled + "…" + "".join(views)
 
 
 def shape_features(form: str) -> list[str]:
     """What the field knows of a shape: itself and a few coarser views."""
     digits = sum(c in "95DCL" for c in form)
     return [
-        f"is {form}",
+        f"is {form.partition('…')[0]}",
         f"at {'@' in form or '(a' in form or '[a' in form}",
         f"dots {min(form.count('.'), 4)} {digits > 0}",
         f"digits {min(digits, 4)} {'w' if 'a' in form else ''}",
@@ -269,6 +285,7 @@ class Tagger:
         self.forms: dict[str, int] = {EDGE: 0}
         self.words: dict[str, int] = {}
         self.emit = self.field.emissions(EDGE)[None]
+        self.compound = np.zeros(1, bool)
 
     def _form(self, word: str) -> int:
         form = shape(word)
@@ -276,11 +293,12 @@ class Tagger:
         if number is None:
             number = self.forms[form] = len(self.forms)
             self.emit = np.concatenate([self.emit, self.field.emissions(form)[None]])
+            self.compound = np.append(self.compound, "…" in form)
         return number
 
     def tags(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(tags, offsets)``: a tag number per word of all texts, and where the words of each text begin."""
-        lists = pc.ascii_split_whitespace(texts)
+        """``(tags, offsets)``: a tag number, or :data:`COMPOUND`, per word of all texts, and where the words of each text begin."""
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))  # untrimmed ends would give empty words
         coded = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         if len(self.words) > 200_000 or len(self.forms) > 20_000:
@@ -303,6 +321,7 @@ class Tagger:
         sure = margin[form, 1] + margin[left, 0] + margin[right, 2]
         open_words = np.flatnonzero(sure <= self.reach)
         if not len(open_words):
+            tags[self.compound[form]] = COMPOUND
             return tags, offsets
         owner = np.searchsorted(offsets, open_words, "right") - 1
         emit = self.emit[left[open_words], 0] + self.emit[form[open_words], 1] + self.emit[right[open_words], 2]
@@ -320,6 +339,7 @@ class Tagger:
                 rows = starts[part][:, None] + np.arange(length)
                 found[rows] = self._viterbi(emit[rows], opening[part], closing[part])
         tags[open_words] = found
+        tags[self.compound[form]] = COMPOUND
         return tags, offsets
 
     def _viterbi(self, emit: np.ndarray, opening: np.ndarray, closing: np.ndarray) -> np.ndarray:
@@ -387,17 +407,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def field_spans(text: str, tags: list[int]) -> list[tuple[int, int, str]]:
-    """The spans that a text's tags mark, without the marks around them."""
+def marked_spans(text: str, words: Iterable[tuple[int, int]], tags: Iterable[int]) -> list[tuple[int, int, str]]:
+    """The spans that the tags of a text's words mark, without the marks around them."""
     spans: list[tuple[int, int, str]] = []
     going = ""
-    for tag, word in zip(tags, WORD.finditer(text)):
+    for tag, (begin, finish) in zip(tags, words):
         name = TAGS[tag]
         if name == "O":
             going = ""
             continue
-        first, last = trimmed(word[0])
-        start, end = word.start() + first, word.start() + last
+        first, last = trimmed(text[begin:finish])
+        start, end = begin + first, begin + last
         if name[0] == "I" and going == name[2:] and spans:
             spans[-1] = (spans[-1][0], max(end, spans[-1][1]), going)
         elif start < end:
@@ -406,6 +426,19 @@ def field_spans(text: str, tags: list[int]) -> list[tuple[int, int, str]]:
     return [s for s in spans if plausible(s[2], text[s[0] : s[1]])]
 
 
+def field_spans(text: str, tags: list[int], own: Tagger) -> list[tuple[int, int, str]]:
+    """The spans of a text by the tags of its words. Words of very many runs, such as JSON, are tagged again in parts."""
+    words = [word.span() for word in WORD.finditer(text)]
+    long = [i for i, tag in enumerate(tags[: len(words)]) if tag == COMPOUND]
+    spans = marked_spans(text, words, [0 if tag == COMPOUND else tag for tag in tags])
+    for i in long:
+        parts = [part.span() for part in PART.finditer(text, *words[i])]
+        if parts:
+            found, _ = own.tags(pa.array([" ".join(text[a:b] for a, b in parts)]))
+            spans += marked_spans(text, parts, [0 if tag == COMPOUND else tag for tag in found.tolist()])
+    return sorted(spans)
+
+
 def added(base: list[tuple[int, int, str]], more: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """All base spans, and those others that touch none of them."""
     free = [s for s in more if not any(s[0] < b and s[1] > a for a, b, _ in base)]
@@ -426,11 +459,11 @@ def _spans(texts: pa.Array, table: str) -> Iterator[tuple[str, list, list]]:
     """Text, base spans and all spans of each text of a batch."""
     texts = pc.fill_null(texts, "")
     tags, offsets = tagger(table).tags(texts)
-    marked = np.add.reduceat(np.append(tags, 0), offsets[:-1]) if len(texts) else []
+    marked = np.add.reduceat(np.append(tags != 0, False), offsets[:-1]) if len(texts) else []
     marked = np.where(np.diff(offsets) > 0, marked, 0) if len(texts) else []
     for at, text in enumerate(texts.to_pylist()):
         base = base_spans(text)
-        own = field_spans(text, tags[offsets[at] : offsets[at + 1]].tolist()) if marked[at] else []
+        own = field_spans(text, tags[offsets[at] : offsets[at + 1]].tolist(), tagger(table)) if marked[at] else []
         yield text, base, added(base, own)
 
 
@@ -472,10 +505,14 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def redact(docs: DataFrame, text: str = "text", table: str = LABELLED) -> DataFrame:
-    """``docs`` with all personal data masked in ``text``; other columns, and NULL texts, stay as they are."""
+def redact(docs: DataFrame, text: str = "text", table: str = LABELLED, length: str | None = None) -> DataFrame:
+    """``docs`` with all personal data masked in ``text``; other columns, and NULL texts, stay as they are.
+
+    A column ``length``, if there is one, is set to the characters of the new text.
+    """
     bounded(docs.sparkSession)
-    place = docs.columns.index(text)
+    names, numbered = docs.columns, docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    place = names.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, place):
@@ -486,4 +523,8 @@ def redact(docs: DataFrame, text: str = "text", table: str = LABELLED) -> DataFr
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
         tagger(table).forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    found = numbered.mapInArrow(run, numbered.schema)
+    if length in names:
+        own = f"_{names.index(length)}"
+        found = found.withColumn(own, F.length(f"_{place}").cast(found.schema[own].dataType))
+    return found.toDF(*names)

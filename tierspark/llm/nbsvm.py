@@ -60,7 +60,7 @@ class Features:
         return codes[self._seen[codes] == order]
 
     def _form_grams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         coded = lists.flatten().dictionary_encode()
         words, offsets = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
         known = self._forms
@@ -255,9 +255,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is predicted to be good, with all their columns."""
+    """The rows of ``docs`` whose text is predicted to be good, with all their columns, whatever these are called.
+
+    A NULL text is judged as an empty one; rows that repeat are judged alike and all stay or go.
+    """
     bounded(docs.sparkSession)
-    place = docs.columns.index(text)
+    names, numbered = docs.columns, docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    place = names.index(text)
     weights, curve = model.weights.astype(np.float32), (model.bias, model.slope, model.shift)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,4 +270,4 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             good = [fitted.score(found) >= GOOD_FROM for found in features.of(batch.column(place))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
