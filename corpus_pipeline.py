@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tierspark.llm import crf_pii, golomb_dedup, jaccard, nbsvm, packing
+from tierspark.llm import crf_pii, golomb_dedup, nbsvm, packing, simhash
 from tierspark.llm.common import stored, table
+from tierspark.llm.survivors import one_of_each
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,30 +19,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return nbsvm.keep_good(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _without(docs: DataFrame, judged: DataFrame, stays: str) -> DataFrame:
-    """``docs`` without the documents of which ``judged`` keeps no row; only their keys are compared.
-
-    A document without a key goes if no such document stays.
-    """
-    gone = judged.groupBy("doc_id").agg(F.bool_or(stays).alias("_stays")).where("NOT _stays")
-    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_marked")), "dropped")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id."""
-    return _without(docs, golomb_dedup.exact_duplicates(docs), "kept")
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return golomb_dedup.exact_duplicates(rows, "_key", "_text").withColumnRenamed("keep_id", "_first")
+
+    return one_of_each(docs, judge)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a 5-word Jaccard similarity of 0.8 the one with the smallest doc_id."""
-    groups = jaccard.near_duplicates(docs)
-    return _without(docs, groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "kept")
+    """Of each group of documents whose SimHash fingerprints are linked by 3 bits the one with the smallest doc_id."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return simhash.near_duplicates(rows, "_key", "_text").withColumnRenamed("component_id", "_first")
+
+    return one_of_each(docs, judge)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked."""
-    return crf_pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return crf_pii.redact(docs, length="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +50,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("exact dedup", exact_dedup),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("PII", pii),
     ("best-fit packing", pack),
 ]
 
-# Classifier, XXH64 fingerprints, random field and tokenizer are beyond SQL.
+# Classifier, SimHash fingerprints, random field and tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
