@@ -280,6 +280,9 @@ WHERE back = 1 AND _change_type <> 'delete'
     "retention_prune": UNTIMED + f"SELECT * FROM untimed WHERE ts IS NULL OR ts >= {NOW} - INTERVAL 7 DAY",
     "retention_pruned_count": UNTIMED + f"SELECT count(*) AS pruned FROM untimed WHERE ts < {NOW} - INTERVAL 7 DAY",
     "topic_to_lake": MESSAGES + "SELECT event_id, user_id, event_type, value, occurred_at, k, props FROM good",
+    "topic_to_lake_replayed": MESSAGES + "SELECT event_id, user_id, event_type, value, occurred_at, k, props FROM good",
+    "lake_merged": MESSAGES + "SELECT event_id, user_id, event_type, value, occurred_at, k, props FROM good",
+    "lake_pruned": UNTIMED + f"SELECT * FROM untimed WHERE ts IS NULL OR ts >= {NOW} - INTERVAL 7 DAY",
     "topic_to_table": LATEST_MESSAGES,
     "topic_drain_twice": LATEST_MESSAGES,
     "two_topics_one_lake": MESSAGES + "SELECT event_id, user_id, event_type, value, occurred_at, k, props FROM good",

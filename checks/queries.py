@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from tierspark.sources.stores import read_lake
 from tierspark.sources.topics import read_message_files
 from tierspark.streaming.ingest import changes_to_table, drain, topic_to_lake, topic_to_table
 from tierspark.streaming.keyed_log import compact, read_keyed
+from tierspark.streaming.lake import merge_days, prune_lake, write_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -368,6 +369,40 @@ def q_topic_to_lake(spark, sf):
     return naive(read_lake(spark, f"{folder}/lake").select(*fx.MAPPING.columns))
 
 
+def _landed(spark, sf, checkpoints=("checkpoint",), max_files=4):
+    """The messages in a lake by days, as many times as there are checkpoints."""
+    folder, topic = fx.message_folder(spark, sf)
+    for checkpoint in checkpoints:
+        drain(
+            lambda: topic_to_lake(
+                read_message_files(spark, topic, max_files=max_files), fx.MAPPING, f"{folder}/lake", f"{folder}/{checkpoint}",  # noqa: B023
+                rejects=f"{folder}/rejects", day_of="occurred_at", drain=True,
+            )
+        )
+    return f"{folder}/lake"
+
+
+def q_topic_to_lake_replayed(spark, sf):
+    """A second checkpoint reads the whole topic again: the lake knows what it holds."""
+    return naive(read_lake(spark, _landed(spark, sf, ("first", "second"))).select(*fx.MAPPING.columns))
+
+
+def q_lake_merged(spark, sf):
+    """Many small batches, then all days but the last ten merged."""
+    lake = _landed(spark, sf, max_files=1)
+    merge_days(spark, lake, (fx.NOW - timedelta(days=10)).date())
+    return naive(read_lake(spark, lake).select(*fx.MAPPING.columns))
+
+
+def q_lake_pruned(spark, sf):
+    """A lake by days from which everything older than seven days is removed."""
+    fx.configure(spark)
+    lake = f"{shared_folder(spark, 'lake')}/events"
+    write_batch(fx.untimed_events(spark, sf), lake, "given", 0, "ts")
+    prune_lake(spark, lake, "ts", 7, fx.NOW)
+    return read_lake(spark, lake).drop("day", "stream", "batch_id")
+
+
 def q_topic_to_table(spark, sf):
     folder, topic = fx.message_folder(spark, sf)
     drain(

@@ -35,12 +35,12 @@ def test_a_key_alone_updates_nothing():
 
 
 def test_lake_table_statement(spark):
-    assert create_lake_statement("s3a://b/p", WIDE) == (
+    assert create_lake_statement("s3a://b/p", WIDE.schema) == (
         'CREATE TABLE IF NOT EXISTS delta.`s3a://b/p` (`k"1` bigint, `v` string, `t` timestamp) USING delta '
         "TBLPROPERTIES (delta.enableChangeDataFeed = true)"
     )
     with pytest.raises(Exception, match="(?i)delta"):
-        spark.sql(create_lake_statement("s3a://b/p", WIDE))
+        spark.sql(create_lake_statement("s3a://b/p", WIDE.schema))
 
 
 def test_lake_location():

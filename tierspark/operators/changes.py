@@ -139,15 +139,23 @@ def delete_by_key(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def change_position(feed: DataFrame) -> Column:
-    """The place of a change among those of its commit, from 0: the column ``_position`` where the feed has it."""
-    return F.coalesce(F.col("_position"), F.lit(0)) if "_position" in feed.columns else F.lit(0)
+    """The place of a change among those of its commit.
+
+    The column ``_position`` where the feed has it, else that of the message it came from: the feed of a lake
+    that messages landed in carries ``_offset`` and ``_partition``. Otherwise 0 for all.
+    """
+    if "_position" in feed.columns:
+        return F.coalesce(F.col("_position"), F.lit(0))
+    if {"_offset", "_partition"} <= set(feed.columns):
+        return F.coalesce(F.shiftleft("_offset", 16) + F.col("_partition"), F.lit(0))
+    return F.lit(0)
 
 
 def final_changes(feed: DataFrame, mapped: Sequence[str], key: str) -> DataFrame:
     """A range of a change feed as one row per key: ``mapped`` columns, ``_deleted`` and ``_reset``.
 
     Changes are applied in commit order and, within one commit, deletes before writes, those by
-    ``_position`` where the feed has it; without it one commit should write a key once. Old images and
+    :func:`change_position`; where the feed tells none, one commit should write a key once. Old images and
     unknown change types are skipped. A change of the key itself leaves the row of the old key alone,
     because only the new image is looked at.
     """

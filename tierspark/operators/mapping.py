@@ -15,7 +15,7 @@ from tierspark.functions.names import quoted
 MALFORMED = "malformed JSON"
 
 # Where a message came from; carried through so that later steps can order and report rows.
-POSITION = ("_partition", "_offset", "_timestamp")
+POSITION = ("_topic", "_partition", "_offset", "_timestamp")
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ class Mapping:
 def map_messages(messages: DataFrame, mapping: Mapping) -> DataFrame:
     """One row per message: mapped columns, position, raw payload and ``reject_reason``.
 
-    ``messages`` has ``value`` and may have ``partition``, ``offset`` and ``timestamp``. A message is
+    ``messages`` has ``value`` and may have ``topic``, ``partition``, ``offset`` and ``timestamp``. A message is
     rejected as a whole if its payload is not one JSON document, or if any field is missing or of the
     wrong kind; the first such field in mapping order is the reason. Accepted and rejected rows come
     out of one parse: see :func:`accepted` and :func:`rejected`.
@@ -72,7 +72,7 @@ def map_messages(messages: DataFrame, mapping: Mapping) -> DataFrame:
     below these projections: a projection that depends on the task is not moved.
     """
     messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    position = [c for c in ("partition", "offset", "timestamp") if c in messages.columns]
+    position = [name.removeprefix("_") for name in POSITION if name.removeprefix("_") in messages.columns]
     carried = [f"_{c}" for c in position] + ["_value"]
     ids = range(len(mapping.fields))
 
@@ -113,7 +113,7 @@ def accepted(mapped: DataFrame, mapping: Mapping) -> DataFrame:
 
 def rejected(mapped: DataFrame) -> DataFrame:
     """Position, raw payload and reason of the messages that did not qualify."""
-    kept = [c for c in ("_partition", "_offset", "_timestamp", "_value", "reject_reason") if c in mapped.columns]
+    kept = [c for c in (*POSITION, "_value", "reject_reason") if c in mapped.columns]
     return mapped.where(F.col("reject_reason").isNotNull()).select(*kept)
 
 

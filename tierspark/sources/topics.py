@@ -1,4 +1,4 @@
-"""Message streams: ``value`` (bytes), ``partition``, ``offset``, ``timestamp``."""
+"""Message streams: ``value`` (bytes), ``topic``, ``partition``, ``offset``, ``timestamp``."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def read_topic(
     )
     if max_offsets:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets)
-    return reader.load().select("value", F.col("partition"), F.col("offset"), "timestamp")
+    return reader.load().select("value", "topic", F.col("partition"), F.col("offset"), "timestamp")
 
 
 def read_message_files(

@@ -14,6 +14,8 @@ from tierspark.operators.changes import final_changes, latest_per_key
 from tierspark.operators.mapping import Mapping, accepted, map_messages, rejected
 from tierspark.functions.times import utc_day
 from tierspark.streaming.keyed_log import ORDER, append_batch, batch_folder, feed_changes, message_changes
+from tierspark.streaming.lake import PLACE, has_positions, is_landed, without_landed, write_batch, write_positions
+from tierspark.streaming.sinks import create_lake_statement
 
 # Applies one batch to a table that can be changed in place, such as those of
 # :mod:`tierspark.streaming.sinks`: rows to write (one per key), keys to remove before (or None), batch id.
@@ -85,29 +87,53 @@ def topic_to_lake(
 ) -> StreamingQuery:
     """Append accepted messages to a lake table; keys are not deduplicated.
 
-    Each batch writes its own folder of parquet files and replaces it when it runs again, so nothing
-    is lost or doubled. With ``format="delta"`` the batch number does the same for a Delta table. ``day_of`` names a time column by whose day the files are partitioned, for readers that
-    ask for a time window. ``rebalance`` evens out file sizes at the price of a shuffle; days with
-    very many rows are split.
+    Each batch writes folders of its own and replaces them when it runs again, so nothing is lost or doubled. Messages
+    with partition and offset (and topic) carry these into the lake, and the lake notes what it holds: a stream that
+    reads a topic again, with a new checkpoint, leaves that out. Topics of one lake must
+    differ in the column ``topic``, or in partitions or offsets. With ``format="delta"`` the batch number does the same for a
+    Delta table, which is created by the first batch unless it is there, but a new checkpoint adds its rows again.
+
+    ``day_of`` names a time column by whose day the files are partitioned, for readers that ask for a time
+    window, and for :mod:`tierspark.streaming.lake`. ``rebalance`` evens out file sizes at the price of a
+    shuffle; days with very many rows are split.
     """
 
-    stream_id = _stream_id(messages.sparkSession, checkpoint)
+    spark = messages.sparkSession
+    stream_id = _stream_id(spark, checkpoint)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.select(*mapping.columns)
+        rows = rows.select(*mapping.columns, *[c for c in PLACE if c in rows.columns])
+        if format != "delta":
+            write_batch(rows, lake, stream_id(), batch_id, day_of, rebalance)
+            return
         if day_of:
             rows = rows.withColumn("day", utc_day(rows, day_of))
+        if batch_id == 0:
+            spark.sql(create_lake_statement(lake, rows.schema, ["day"] if day_of else []))
         if rebalance:
             rows = rows.hint("rebalance", *(["day"] if day_of else []))
-        out = rows.write.partitionBy("day") if day_of else rows.write
-        if format == "delta":
-            out = out.format(format).option("txnAppId", checkpoint).option("txnVersion", batch_id)
-            out.mode("append").save(lake)
-        else:
-            out.format(format).mode("overwrite").save(batch_folder(lake, stream_id(), batch_id))
+        out = rows.write.format(format).option("txnAppId", checkpoint).option("txnVersion", batch_id)
+        (out.partitionBy("day") if day_of else out).mode("append").save(lake)
 
-    stream, each = _mapped_batches(messages, mapping, rejects, stream_id, write)
-    return _start(stream, each, checkpoint, drain, interval, name)
+    mapped = map_messages(messages, mapping)
+    mapped = mapped if rejects else mapped.where("reject_reason IS NULL")
+    once = format != "delta" and has_positions(mapped)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if once and is_landed(spark, lake, stream_id(), batch_id):
+            return
+        batch = without_landed(batch, lake, stream_id()) if once else batch
+        batch = batch.persist() if once or rejects else batch
+        try:
+            write(accepted(batch, mapping), batch_id)
+            if rejects:
+                rejected(batch).write.mode("overwrite").parquet(batch_folder(rejects, stream_id(), batch_id))
+            if once:
+                write_positions(batch, lake, stream_id(), batch_id)
+        finally:
+            batch.unpersist()
+
+    return _start(mapped, each, checkpoint, drain, interval, name)
 
 
 def topic_to_table(

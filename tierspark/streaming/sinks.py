@@ -6,9 +6,11 @@ Both need packages that are not part of Spark; the SQL they send is built here a
 from __future__ import annotations
 
 from collections.abc import Mapping as Named
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tierspark.functions.times import in_utc
 from tierspark.operators.mapping import Mapping
@@ -39,11 +41,12 @@ def delete_statement(target: str, changes: str, mapping: Mapping, quote: str = '
     return f"DELETE FROM {target} WHERE {key} IN (SELECT {key} FROM {changes})"
 
 
-def create_lake_statement(location: str, mapping: Mapping) -> str:
-    """A Delta table for a mapping, with its change feed on, unless it exists."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mapping.schema)
+def create_lake_statement(location: str, schema: T.StructType, partitioned_by: Sequence[str] = ()) -> str:
+    """A Delta table of these columns, with its change feed on, unless it exists."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    layout = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partitioned_by)}) " if partitioned_by else ""
     return (
-        f"CREATE TABLE IF NOT EXISTS delta.`{location}` ({columns}) USING delta "
+        f"CREATE TABLE IF NOT EXISTS delta.`{location}` ({columns}) USING delta {layout}"
         "TBLPROPERTIES (delta.enableChangeDataFeed = true)"
     )
 
