@@ -5,7 +5,7 @@ import itertools
 import pyarrow as pa
 import pytest
 
-from tierspark.llm import crf_pii, golomb_dedup
+from tierspark.llm import bitset, crf_pii, golomb_dedup
 
 TEXTS = [
     (2**53 + 1, "a b"), (2**53 + 2, "a \t b"), (2**63 - 1, "c"), (None, "a b"), (9007199254740997, "d"),
@@ -22,7 +22,7 @@ def test_no_key_is_lost_or_changed(spark):
 
 
 def test_few_bits_lose_no_copy(spark, monkeypatch):
-    monkeypatch.setattr(golomb_dedup, "MOST_BITMAPS", 1)
+    monkeypatch.setattr(bitset, "MOST_BITMAPS", 1)
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 1000) AS text")
     rows = golomb_dedup.exact_duplicates(docs).collect()
     assert len(rows) == 3000 and all(r.keep_id == r.doc_id % 1000 and r.group_size == 3 for r in rows)
@@ -31,7 +31,7 @@ def test_few_bits_lose_no_copy(spark, monkeypatch):
 def test_only_suspects_are_moved(spark):
     fps = spark.createDataFrame([(i * 7919,) for i in range(100)], "fp bigint")
     rows = spark.range(100_000).selectExpr("id * 7919 AS fp", "id")
-    kept = golomb_dedup._may_be_in(fps, rows)
+    kept = bitset.mark_held(rows, fps).where("_held")
     assert kept.where("id < 100").count() == 100 and kept.count() < 8000
 
 

@@ -21,14 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tierspark.llm.bitset import mark_held
 from tierspark.llm.common import pick, shared_folder, stored
 
 # Rows of a task that are sent together, and fingerprints an owner gets on average, at most.
 RUN = 1 << 17
 PER_OWNER = 1 << 20
 LEAST_OWNERS = 64
-# Bits per suspect fingerprint in the bitset that chooses the texts to be moved, and its most bitmaps of 4 KB.
-BITS_EACH, MOST_BITMAPS = 32, 1 << 13
 HEADER = np.dtype([("n", "<i8"), ("unary_bits", "<i8"), ("remainder_bits", "<i8")])
 
 
@@ -159,23 +158,6 @@ def _marked(rows: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def _may_be_in(fps: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``fp`` may be among ``fps``, by a bitset of bounded size that every task gets.
-
-    Nothing that is among them is left out. Bitmaps of 4 KB cover 2^15 bits each; they are as many as give
-    :data:`BITS_EACH` bits to a fingerprint, but :data:`MOST_BITMAPS` (32 MB) at most.
-    """
-    most = fps.count() * BITS_EACH >> 15
-    bits = min(MOST_BITMAPS, 1 << most.bit_length()) << 15
-    place = F.col("fp").bitwiseAND(F.lit(bits - 1))
-    placed = F.shiftright(place, 15).alias("_map"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("_bit")
-    bitmaps = fps.select(*placed).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    near = rows.select("*", *placed).join(F.broadcast(bitmaps), "_map")
-    byte = "CAST(conv(hex(substr(_bits, CAST(_bit >> 3 AS int) + 1, 1)), 16, 10) AS int)"
-    held = F.expr(f"({byte} >> CAST(_bit & 7 AS int)) & 1 = 1")
-    return near.where(held).select(*rows.columns)
-
-
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, keep_id, group_size, kept, text_sha256)`` for every row of ``docs``.
 
@@ -198,8 +180,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     # Only texts that may be suspects are moved; those that pass by chance meet no suspect below.
     suspects = marked.where("suspect")
-    moved = _may_be_in(stored(suspects.select("fp").distinct(), "suspects"), rows.withColumn("fp", F.xxhash64("_norm")))
-    verified = moved.groupBy("fp", "_norm").agg(F.min("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    near = mark_held(rows.withColumn("fp", F.xxhash64("_norm")), stored(suspects.select("fp").distinct(), "suspects"))
+    verified = near.where("_held").groupBy("fp", "_norm").agg(F.min("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = verified.select("fp", F.unhex(F.sha2("_norm", 256)).alias("sha"), "keep_id", "group_size")
     copied = suspects.join(groups, ["fp", "sha"]).select("_key", "keep_id", "group_size", "sha")
     single = marked.where("NOT suspect").select(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierspark.llm.bitset import mark_held
 from tierspark.llm.common import stored
 
 # Gets ``(_key, _text)`` and returns, for each of its rows, ``(_key, _first)``: the smallest key of the row's group.
@@ -28,8 +29,12 @@ def one_of_each(docs: DataFrame, judge: Judge, key: str = "doc_id", text: str =
     judged = stored(judge(numbered.select("_key", own_text.alias("_text"))).select("_key", "_first"), "judged")
     gone = stored(judged.where("_key <> _first").select("_key").distinct(), "dropped")
     again = stored(judged.where("_key = _first").groupBy("_key").count().where("count > 1").select("_key"), "repeated")
-    stays = numbered.join(gone, "_key", "left_anti")
+    # Most rows are neither; only those that may be are moved and looked up.
+    numbered = numbered.withColumn("fp", F.xxhash64("_key"))
+    marked = mark_held(numbered, stored(gone.unionByName(again).select(F.xxhash64("_key").alias("fp")).distinct(), "held"))
+    plain, near = marked.where("NOT _held"), marked.where("_held").join(gone, "_key", "left_anti")
     if not again.isEmpty():
-        once = stays.join(again, "_key", "left_semi").dropDuplicates(["_key"])
-        stays = stays.join(again, "_key", "left_anti").unionByName(once)
+        once = near.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+        near = near.join(again, "_key", "left_anti").unionByName(once.select(*near.columns))
+    stays = plain.unionByName(near.select(*plain.columns)).drop("fp", "_held")
     return stays.drop("_key").toDF(*names)
