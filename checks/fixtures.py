@@ -6,6 +6,7 @@ into a message, never *whether* it is.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tierspark.operators.mapping import Mapping
 from tierspark.plans.tiers import Tier
 from tierspark.session import configure, shared_folder
+from tierspark.sources.stores import read_lake
+from tierspark.streaming.lake import write_batch
 
 NOW = datetime(2024, 1, 31)
 
@@ -76,6 +79,14 @@ def three_tiers(spark: SparkSession, sf_dir: str) -> list[Tier]:
     ]
 
 
+def tiers_of_a_lake(spark: SparkSession, sf_dir: str, untimed: bool = False) -> list[Tier]:
+    """The three tiers over events that lie in a lake by days."""
+    lake = f"{shared_folder(spark, 'lake')}/events"
+    write_batch(untimed_events(spark, sf_dir) if untimed else events(spark, sf_dir), lake, "given", 0, "ts")
+    rows = read_lake(spark, lake)
+    return [replace(tier, rows=rows, day="day", lake=lake) for tier in three_tiers(spark, sf_dir)]
+
+
 def untimed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of which one in 101 has lost its time."""
     return events(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 101 != 0, F.col("ts")))

@@ -331,3 +331,10 @@ SELECT node, layer - min(layer) OVER () AS layer FROM layers WHERE node IN (SELE
 SELECT src, dst FROM edges WHERE src IN (SELECT node FROM inside) AND dst IN (SELECT node FROM inside)
 """,
 }
+
+# Queries that reach the result of another one by another way.
+ORACLES |= {
+    "tier_counts_lake": ORACLES["tier_counts"],
+    "page_summary_lake": ORACLES["page_summary"],
+    "upsert_touched": ORACLES["upsert_merge"],
+}

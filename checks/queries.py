@@ -15,6 +15,7 @@ from tierspark.functions.display import binary_to_string
 from tierspark.operators.changes import apply_changes, apply_next, change_cursor, delete_by_key, latest_per_key, upsert, upsert_batch
 from tierspark.operators.lineage import lineage_edges, lineage_layers, lineage_nodes, lineage_subgraph
 from tierspark.operators.mapping import accepted, map_messages, reject_counts, rejected
+from tierspark.operators.ranges import read_ranges, upsert_touched, write_ranges
 from tierspark.operators.retention import prune, pruned_count
 from tierspark.operators.status import job_status
 from tierspark.operators.views import column_view, describe_result
@@ -90,6 +91,17 @@ def q_tier_counts(spark, sf):
     return tier_counts(fx.three_tiers(spark, sf), fx.NOW)
 
 
+def q_tier_counts_lake(spark, sf):
+    """The same over a lake by days: whole days are counted by their files' footers."""
+    fx.configure(spark)
+    return tier_counts(fx.tiers_of_a_lake(spark, sf), fx.NOW)
+
+
+def q_page_summary_lake(spark, sf):
+    fx.configure(spark)
+    return page_summary(fx.tiers_of_a_lake(spark, sf), fx.NOW, limit="501", offset="40")
+
+
 def q_tier_coverage(spark, sf):
     rows = fx.untimed_events(spark, sf)
     tiers = [type(t)(t.name, rows, t.columns, t.ts, t.min_age, t.max_age) for t in fx.three_tiers(spark, sf)]
@@ -277,6 +289,16 @@ def q_upsert_merge(spark, sf):
     return upsert(fx.stored_events(spark, sf), changes, "event_id", defaults={"synced_at": F.lit("2024-01-31")})
 
 
+def q_upsert_touched(spark, sf):
+    """The same in a table that lies in ranges of its key; ranges without a change keep their files."""
+    fx.configure(spark)
+    table = f"{shared_folder(spark, 'table')}/events"
+    write_ranges(fx.stored_events(spark, sf), table, "event_id", 12)
+    changes = latest_per_key(fx.resent_events(spark, sf), "event_id", ["sent"]).drop("sent")
+    upsert_touched(spark, table, changes, "event_id", defaults={"synced_at": F.lit("2024-01-31")})
+    return read_ranges(spark, table)
+
+
 def q_upsert_small_batch(spark, sf):
     """The last day sent again: few changes, looked up from the target instead of shuffling it."""
     late = fx.resent_events(spark, sf).where(F.col("ts") > F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
@@ -443,7 +465,7 @@ def q_keyed_compacted(spark, sf):
         messages.where(part).write.parquet(f"{folder}/{name}")
         stream = read_message_files(spark, f"{folder}/{name}")
         drain(lambda: topic_to_table(stream, fx.MAPPING, f"{folder}/{name}-log", f"{folder}/{name}-checkpoint", drain=True))  # noqa: B023
-    compact(spark, f"{folder}/again-log", fx.MAPPING, f"{folder}/base")
+    compact(spark, f"{folder}/again-log", fx.MAPPING, f"{folder}/base", buckets=8)
     return naive(read_keyed(spark, f"{folder}/first-log", fx.MAPPING, f"{folder}/base"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tierspark.functions.names import quoted
 from tierspark.operators.views import ColumnSpec, column_view
-from tierspark.plans.tiers import Tier, tiered_rows
+from tierspark.plans.tiers import Tier, tier_counts, tiered_rows
 
 # Page size by default and at most.
 DEFAULT_LIMIT = 20
@@ -211,8 +211,8 @@ def page_summary(tiers: Sequence[Tier], now: datetime, limit: object = None, off
     """One row: total over all tiers, the page arguments in use, and which rows the page shows."""
     size, start = page_arguments(limit, offset)
     return (
-        tiered_rows(tiers, now)
-        .agg(F.count(F.lit(1)).alias("total"))
+        tier_counts(tiers, now)
+        .agg(F.sum("rows").alias("total"))
         .select(
             "total",
             F.lit(size).cast("bigint").alias("limit"),

@@ -14,6 +14,7 @@ from tierspark.functions.ages import parse_age, whole_seconds
 from tierspark.functions.names import quoted
 from tierspark.functions.times import in_utc, instant_literal, time_type
 from tierspark.operators.views import ColumnSpec, column_view, output_pairs
+from tierspark.sources.stores import read_footers
 
 TIME_RANGE = "timeRange"
 
@@ -24,7 +25,8 @@ class Tier:
 
     ``ts`` is the source's own time column; it need not be among the shown ``columns``. ``day`` names
     a date column that holds the day of ``ts``, typically the partition column of a lake table, so
-    that whole partitions outside the window are skipped.
+    that whole partitions outside the window are skipped. ``lake`` is the location of ``rows`` if they are a
+    whole lake with such partitions: totals then read whole days from the files' statistics.
     """
 
     name: str
@@ -35,6 +37,7 @@ class Tier:
     max_age: str | None = None
     routing: str = TIME_RANGE
     day: str | None = None
+    lake: str | None = None
 
     @property
     def routed(self) -> bool:
@@ -98,6 +101,8 @@ def ordered_tiers(tiers: Sequence[Tier]) -> list[Tier]:
     if len(set(names)) != len(names):
         raise ValueError("a source is named twice")
     for tier in tiers:
+        if tier.lake and not tier.day:
+            raise ValueError("the files of a lake tell totals by its day column only")
         if not tier.columns:
             raise ValueError(f"source {tier.name!r}: at least one column is required")
         output_pairs(tier.columns)
@@ -173,12 +178,30 @@ def tiered_read(tiers: Sequence[Tier], now: datetime) -> DataFrame:
     return tiered_rows(tiers, now).drop("_tier", "_ts")
 
 
+def _count(tier: Tier, now: datetime) -> DataFrame:
+    """The number of a tier's rows in its window, as one row.
+
+    In a lake by days only the days into which the window's ends fall are scanned. Days wholly inside are
+    counted by the row numbers in the files' footers.
+    """
+    number = F.count(F.lit(1)).alias("rows")
+    if not tier.lake:
+        return _in_window(tier, now).agg(number)
+    footers = read_footers(tier.rows.sparkSession, tier.lake)
+    ends = [(in_utc(end).date() if end else None) for end in (tier.bounds(now) if tier.ts else (None, None))]
+    after, before = ends
+    if after is None and before is None:
+        return footers.agg(number)
+    day = quoted(tier.day)
+    whole = footers if after is None else footers.where(day > F.lit(after))
+    whole = whole if before is None else whole.where(day < F.lit(before))
+    edges = _in_window(tier, now).where(day.isin([end for end in ends if end]))
+    return whole.agg(number).unionByName(edges.agg(number)).agg(F.sum("rows").alias("rows"))
+
+
 def tier_counts(tiers: Sequence[Tier], now: datetime) -> DataFrame:
-    """Rows per tier, ``(tier, rows)``, empty tiers included; one job that reads only the time columns."""
-    parts = [
-        _in_window(tier, now).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(tier.name).alias("tier"), "rows")
-        for tier in ordered_tiers(tiers)
-    ]
+    """Rows per tier, ``(tier, rows)``, empty tiers included; one job that reads only time columns, or less: :func:`_count`."""
+    parts = [_count(tier, now).select(F.lit(tier.name).alias("tier"), "rows") for tier in ordered_tiers(tiers)]
     return reduce(DataFrame.unionByName, parts)
 
 

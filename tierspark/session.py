@@ -20,6 +20,8 @@ SPEED_SETTINGS = {
     # The JVM never compiles a method of more than 8000 bytes. Message mapping can generate such a
     # method; Spark then splits it by operator instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Lets totals be read from the footers of parquet files.
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

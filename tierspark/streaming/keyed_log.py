@@ -8,6 +8,7 @@ travels with the rows, hence it does not matter in which batch a change arrives.
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,10 @@ from tierspark.functions.names import quoted
 from tierspark.operators.changes import change_position, latest_per_key
 from tierspark.operators.mapping import Mapping
 from tierspark.operators.retention import expired
+from tierspark.sources import folders
 
 ORDER = ["_time", "_major", "_minor"]
+BUCKETS = "_buckets="
 
 
 def log_schema(mapping: Mapping) -> T.StructType:
@@ -76,16 +79,58 @@ def read_log(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
     return spark.read.schema(log_schema(mapping)).parquet(path)
 
 
+def base_schema(mapping: Mapping) -> T.StructType:
+    return T.StructType([f for f in log_schema(mapping).fields if f.name not in ("stream", "batch_id")])
+
+
+def buckets_of(spark: SparkSession, base: str) -> int | None:
+    """The number of buckets of a base, which it notes in the name of a folder; None if it has none."""
+    found = [name for name in folders.names_in(spark, base) if name.startswith(BUCKETS)]
+    return int(found[0].removeprefix(BUCKETS)) if found else None
+
+
 def read_base(spark: SparkSession, base: str, mapping: Mapping) -> DataFrame:
-    """What :func:`compact` wrote: one row per key with its place in the order; deleted keys are marked."""
-    fields = [f for f in log_schema(mapping).fields if f.name not in ("stream", "batch_id")]
-    rows = spark.read.schema(T.StructType(fields)).parquet(base)
+    """What :func:`compact` wrote: one row per key with its place in the order; deleted keys are marked.
+
+    A base in buckets is read as such: its rows are known to be dealt out by key already.
+    """
+    buckets = buckets_of(spark, base)
+    if buckets is None:
+        rows = spark.read.schema(base_schema(mapping)).parquet(base)
+    else:
+        name = _table_name(base)
+        if not spark.catalog.tableExists(name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base_schema(mapping))
+            key = f"`{mapping.key}`"
+            spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet "
+                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{base}'"
+            )
+        rows = spark.table(name)
     return rows.withColumn("_deleted", F.coalesce("_deleted", F.lit(False)))
 
 
-def _last(log: DataFrame, base: DataFrame | None, key: str) -> DataFrame:
-    """The last state of every key in log and base, deleted ones too. Of equal places the base's counts."""
-    rows = log.drop("stream", "batch_id").withColumn("_settled", F.lit(False))
+def _table_name(base: str) -> str:
+    return "keyed_base_" + hashlib.md5(base.encode()).hexdigest()
+
+
+def _last(log: DataFrame, base: DataFrame | None, key: str, buckets: int | None = None) -> DataFrame:
+    """The last state of every key in log and base, deleted ones too. Of equal places the base's counts.
+
+    Log and base go through one aggregate. If the base lies in ``buckets``, the log is reduced first and dealt
+    out like them, and only then meets the base, which stays where it is.
+    """
+    log = log.drop("stream", "batch_id")
+    if base is not None and buckets:
+        state = lambda df, name: df.select(quoted(key).alias(f"{name}_key"), F.struct("*").alias(name))
+        new = state(latest_per_key(log.where(quoted(key).isNotNull()), key, ORDER), "_new")
+        new = new.repartition(buckets, "_new_key").hint("shuffle_hash")
+        met = state(base, "_old").join(new, F.col("_old_key") == F.col("_new_key"), "full_outer")
+        place = lambda name: F.struct(*[F.col(name).getField(c) for c in ORDER])
+        newer = F.col("_old").isNull() | (F.col("_new").isNotNull() & (place("_new") > place("_old")))
+        chosen = F.when(newer, F.col("_new")).otherwise(F.col("_old"))
+        return met.select(chosen.alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in base.columns])
+    rows = log.withColumn("_settled", F.lit(False))
     if base is not None:
         rows = rows.unionByName(base.withColumn("_settled", F.lit(True)))
     return latest_per_key(rows, key, [*ORDER, "_settled"]).drop("_settled")
@@ -95,11 +140,11 @@ def read_keyed(spark: SparkSession, path: str, mapping: Mapping, base: str | Non
     """The table's current rows.
 
     With ``base``, written by :func:`compact`, the log only has to hold what came later. Both carry the
-    order of changes and go through one aggregate, so the log may still hold what the base covers, and a
-    change that comes late or again is no newer than it is.
+    order of changes, so the log may still hold what the base covers, and a change that comes late or again
+    is no newer than it is. A base in buckets is not moved.
     """
     settled = None if base is None else read_base(spark, base, mapping)
-    last = _last(read_log(spark, path, mapping), settled, mapping.key)
+    last = _last(read_log(spark, path, mapping), settled, mapping.key, base and buckets_of(spark, base))
     return last.where(~F.col("_deleted")).select(*[quoted(c) for c in mapping.columns])
 
 
@@ -111,20 +156,29 @@ def compact(
     base: str | None = None,
     retention: tuple[str, int, datetime] | None = None,
     forget: Column | None = None,
+    buckets: int | None = None,
 ) -> list[str]:
     """Write the last state of every key to ``target``, a new base, and return the log folders it covers.
 
     Those folders may be removed afterwards; folders that streams add meanwhile are not among them.
     ``retention`` (time column, days, now) deletes rows that are too old. Deleted keys stay in the base
     without their contents, so that older changes do not bring them back; ``forget`` is a condition on
-    ``_time, _major, _minor`` for deletions so old that no earlier change can come any more.
+    ``_time, _major, _minor`` for deletions so old that no earlier change can come any more. ``buckets``
+    lays the base out by key in so many parts, sorted: later reads and compactions move only the log.
     """
     log = read_log(spark, path, mapping)
-    last = _last(log, None if base is None else read_base(spark, base, mapping), mapping.key)
+    settled = None if base is None else read_base(spark, base, mapping)
+    last = _last(log, settled, mapping.key, base and buckets_of(spark, base))
     if retention:
         last = last.withColumn("_deleted", F.col("_deleted") | F.coalesce(expired(last, *retention), F.lit(False)))
     if forget is not None:
         last = last.where(~(F.col("_deleted") & F.coalesce(forget, F.lit(False))))
     contents = [F.when(~F.col("_deleted"), quoted(c)).alias(c) for c in mapping.columns if c != mapping.key]
-    last.select(quoted(mapping.key), *contents, *ORDER, "_deleted").write.mode("errorifexists").parquet(target)
+    last = last.select(quoted(mapping.key), *contents, *ORDER, "_deleted").select(*base_schema(mapping).fieldNames())
+    if buckets:
+        dealt = last.repartition(buckets, quoted(mapping.key)).write.bucketBy(buckets, mapping.key).sortBy(mapping.key)
+        dealt.format("parquet").option("path", target).mode("errorifexists").saveAsTable(_table_name(target))
+        folders.make(spark, f"{target.rstrip('/')}/{BUCKETS}{buckets}")
+    else:
+        last.write.mode("errorifexists").parquet(target)
     return sorted({file.rpartition("/")[0] for file in log.inputFiles()})
