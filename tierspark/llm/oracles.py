@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from tierspark.llm.queries import PATTERNS, PLACES
-from tierspark.llm.warc import ENTITIES, LINES, TAGS, UNSEEN
+from tierspark.llm.warc import LINES, TAGS, UNSEEN
 
 TOP_K = """
 WITH vectors AS (
@@ -46,23 +49,51 @@ SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE {patterns} ELSE
 """
 
 
+def _references() -> tuple[str, str]:
+    """Python's table of character references as SQL values: by name, and numbers that do not stand for themselves."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    named = ", ".join(f"({quoted(name)}, {quoted(chars)})" for name, chars in html.entities.html5.items())
+    numbers = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(plane + last for plane in range(0, 0x110000, 0x10000) for last in (0xFFFE, 0xFFFF))]
+    odd = [(n, html.unescape(f"&#{n};")) for n in numbers if html.unescape(f"&#{n};") != chr(n)]
+    return named, ", ".join(f"({n}, {quoted(chars)})" for n, chars in odd)
+
+
 def _warc() -> str:
     text = "payload"
     for pattern in UNSEEN:
         text = f"regexp_replace({text}, '{pattern}', '', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{LINES}', chr(10), 'g'), '{TAGS}', '', 'g')"
-    for entity, character in ENTITIES:
-        text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
-    text = f"regexp_replace({text}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    clean = "regexp_replace(t, '[ \\t\\r\\f\\x0B\\x{A0}]+', ' ', 'g')"
+    clean = f"regexp_replace(regexp_replace({clean}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    token = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)|[^&]+|&"
     uid = lambda e: f"'urn:uuid:' || regexp_replace(md5({e}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
     end = "chr(13) || chr(10)"
+    named, odd = _references()
     return f"""
-WITH source AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+WITH named(name, chars) AS (VALUES {named}),
+odd(n, chars) AS (VALUES {odd}),
+source AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
 responses AS (
-  SELECT *, 'sha256:' || sha256(payload) AS payload_digest,
+  SELECT *, row_number() OVER () AS number, 'sha256:' || sha256(payload) AS payload_digest,
          {uid("'response|' || page_id::VARCHAR || '|' || target_uri || '|sha256:' || sha256(payload)")} AS refers_to FROM source),
-texts AS (SELECT *, {text} AS body FROM responses),
+cut AS (SELECT number, regexp_extract_all({text}, '{token}') AS tokens FROM responses),
+placed AS (SELECT number, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM cut),
+distinct_tokens AS (SELECT DISTINCT token FROM placed WHERE starts_with(token, '&') AND token <> '&'),
+digits AS (
+  SELECT token, regexp_matches(token, '^&#[xX]') AS hex, ltrim(regexp_replace(token, '^&#[xX]?|;$', '', 'g'), '0') AS d
+  FROM distinct_tokens WHERE starts_with(token, '&#')),
+numbers AS (
+  SELECT token, CASE WHEN length(d) > 9 THEN 9999999 WHEN d = '' THEN 0 WHEN hex THEN ('0x' || d)::BIGINT ELSE d::BIGINT END AS n FROM digits),
+prefixes AS (
+  SELECT token, unnest(range(2, length(token))) AS size FROM distinct_tokens WHERE NOT starts_with(token, '&#')),
+resolved AS (
+  SELECT token, coalesce(chars, CASE WHEN n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(n::INTEGER) END) AS chars
+  FROM numbers LEFT JOIN odd USING (n)
+  UNION ALL
+  SELECT token, arg_max(chars || substr(token, size + 2), size) FROM prefixes JOIN named ON name = substr(token, 2, size) GROUP BY token),
+joined AS (
+  SELECT number, string_agg(coalesce(chars, token), '' ORDER BY place) AS t FROM placed LEFT JOIN resolved USING (token) GROUP BY number),
+texts AS (SELECT r.*, coalesce({clean}, '') AS body FROM responses r LEFT JOIN joined USING (number)),
 records AS (
   SELECT page_id, 'metadata' AS record_type, refers_to, target_uri, payload_digest, 'application/warc-fields' AS content_type,
          {uid("'metadata|' || refers_to")} AS record_id, {uid("'conversion|' || refers_to")} AS concurrent_to,
@@ -75,11 +106,12 @@ records AS (
   SELECT page_id, 'conversion', refers_to, target_uri, payload_digest, 'text/plain; charset=utf-8',
          {uid("'conversion|' || refers_to")}, {uid("'metadata|' || refers_to")}, body
   FROM texts)
-SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, content_type,
-       CAST(strlen(block) AS BIGINT) AS content_length, payload_digest, 'sha256:' || sha256(block) AS block_digest
+SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, '1970-01-01T00:00:00Z' AS date, content_type,
+       CAST(strlen(block) AS BIGINT) AS content_length, payload_digest, 'sha256:' || sha256(block) AS block_digest, block
 FROM records
 """
 
+
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 DECONTAMINATION = f"""

@@ -78,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf, "pages"))).drop("block", "date")
+    return warc.derivatives(warc.responses(table(spark, sf, "pages")))
 
 
 def op11_decontamination(spark: SparkSession, sf: str) -> DataFrame:

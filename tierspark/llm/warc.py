@@ -31,8 +31,6 @@ LINES = (
     r"|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
 )
 TAGS = r"<[^>]*>"
-# Only the SQL still knows no more than these; :func:`with_text` resolves all.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def with_text(rows: DataFrame, html: str, text: str) -> DataFrame:
