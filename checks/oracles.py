@@ -193,6 +193,10 @@ FROM events
     "table_page_deep_dates": """
 SELECT o_orderkey, o_orderdate::DATE AS day FROM orders ORDER BY day DESC, o_orderkey
 LIMIT 100 OFFSET (SELECT count(*) // 2 FROM orders)
+""",
+    "table_page_deep_doubles": """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber
+LIMIT 100 OFFSET (SELECT count(*) // 2 FROM lineitem)
 """,
     "lake_page": "SELECT o_orderkey, o_orderdate AS day FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10",
     "tiered_page": f"SELECT {VIEW} FROM events ORDER BY ts DESC, event_id LIMIT 20",

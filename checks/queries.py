@@ -284,6 +284,14 @@ def q_latest_per_key(spark, sf):
     return latest_per_key(fx.events(spark, sf), "user_id", ["ts", "event_id"])
 
 
+def q_table_page_deep_doubles(spark, sf):
+    """A page in the middle of all line items, dearest first."""
+    fx.configure(spark)
+    items = read_lake(spark, f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [Key("l_extendedprice", descending=True), Key("l_orderkey"), Key("l_linenumber")]
+    return page(items, order, 100, items.count() // 2, direct_rows=1_000)
+
+
 def q_upsert_merge(spark, sf):
     changes = latest_per_key(fx.resent_events(spark, sf), "event_id", ["sent"]).drop("sent")
     return upsert(fx.stored_events(spark, sf), changes, "event_id", defaults={"synced_at": F.lit("2024-01-31")})

@@ -37,7 +37,7 @@ def test_job_status(spark):
         "dead": ("error", at(60), "", "gone", False),
         "back": ("running", at(5), "", "gone", True),
         "never": ("error", None, None, "no start", False),
-        "warned": ("Missing", None, None, "hm", False),
+        "warned": ("", None, None, "hm", False),
         "absent": ("Missing", None, None, None, False),
     }
 

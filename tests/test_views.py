@@ -57,3 +57,17 @@ def test_key_texts(spark):
         "true",
         "x",
     )
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_key_texts_of_times_are_in_utc(spark, zone):
+    """Also in sessions of other zones, and for local times that a zone's clocks leave out."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("SELECT timestamp'2024-03-10 07:30:00.5Z' t, timestamp'1969-12-31 23:59:59.000001Z' o, timestamp_ntz'2024-03-10 02:30:00.25' n")
+        assert tuple(df.select(*[key_text(df, c) for c in df.columns]).first()) == (
+            "2024-03-10T07:30:00.500+00:00", "1969-12-31T23:59:59.000001+00:00", "2024-03-10T02:30:00.250+00:00",
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

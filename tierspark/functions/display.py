@@ -25,15 +25,22 @@ def binary_to_string(df: DataFrame) -> DataFrame:
 def key_text(df: DataFrame, column: str) -> Column:
     """A typed value as text: RFC 3339 for instants, plain numbers, ``true`` and ``false``."""
     kind, value = df.schema[column].dataType, quoted(column)
+    if isinstance(kind, T.TimestampType):
+        # The instant's digits in UTC, whatever the session's zone.
+        seconds = (F.unix_micros(value).cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+        zero = F.lit(0)
+        value = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         # No fraction is written for whole seconds; otherwise three or six digits.
-        micros = F.date_format(value, "SSSSSS")
+        text = value.cast("string")
+        micros = F.rpad(F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise(F.lit("")), 6, "0")
         fraction = (
             F.when(micros == "000000", F.lit(""))
             .when(micros.endswith("000"), F.concat(F.lit("."), F.substring(micros, 1, 3)))
             .otherwise(F.concat(F.lit("."), micros))
         )
-        return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+        whole = F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T"))
+        return F.concat(whole, fraction, F.lit("+00:00"))
     if isinstance(kind, T.DoubleType):
         return F.regexp_replace(double_text(value), r"\.0$", "")
     return value.cast("string")

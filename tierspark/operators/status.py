@@ -12,6 +12,8 @@ from tierspark.functions.times import instant_literal, time_type
 # Fixed value: a job is alive if it reported within this many seconds (three intervals of ten).
 ALIVE_SECONDS = 30
 MISSING = "Missing"
+# The phase of a job that has only reported errors that did not end it.
+UNKNOWN = ""
 
 
 def observed_state(reports: DataFrame) -> DataFrame:
@@ -45,15 +47,18 @@ def observed_state(reports: DataFrame) -> DataFrame:
 
 
 def job_status(jobs: DataFrame, reports: DataFrame, now: datetime) -> DataFrame:
-    """Every wanted job with its observed state; a job that never reported is ``Missing``."""
+    """Every wanted job with its observed state; a job that never reported is ``Missing``.
+
+    One that has reported nothing but passing errors is there, in a phase nobody knows: the empty text.
+    """
     instant = instant_literal(now, time_type(reports, "at"))
     age_limit = F.expr(f"interval {ALIVE_SECONDS} seconds")
     return (
         jobs.select("job")
-        .join(observed_state(reports), "job", "left")
+        .join(observed_state(reports).withColumn("_seen", F.lit(True)), "job", "left")
         .select(
             "job",
-            F.coalesce("phase", F.lit(MISSING)).alias("phase"),
+            F.coalesce("phase", F.when(F.col("_seen"), F.lit(UNKNOWN)), F.lit(MISSING)).alias("phase"),
             F.date_trunc("second", "last_beat_at").cast(reports.schema["at"].dataType).alias("last_beat_at"),
             "lag",
             "watermark",

@@ -25,6 +25,7 @@ MAX_LIMIT = 500
 # page's place is first found by counting.
 DIRECT_ROWS = 20_000
 BUCKETS = 1024
+QUANTILES = 64
 
 
 def _number(value: object, default: int) -> int:
@@ -60,9 +61,9 @@ def page(
     Near the start, each task keeps ``offset + limit`` rows and the driver merges them. Deep pages
     are found without sorting: rows are counted in up to 1024 equal ranges of the first sort column
     (texts by the first character in which they differ), the range with the page is split again, and
-    so on until few rows stand before the page. A value that alone holds more rows than that is split
-    by the next column. Whole numbers, decimals of up to 18 digits, times, dates, booleans and texts can
-    be split; only other types of column, such as doubles, are sorted whole.
+    so on until few rows stand before the page. Floating-point numbers and decimals of more than 18 digits are cut
+    at quantiles instead, 64 at a time, so they need no equal width. A value that alone holds more rows than that is split
+    by the next column. Only columns of other types, such as arrays, are sorted whole.
     """
     if offset + limit > direct_rows:
         return _deep_page(df, list(order), limit, offset, direct_rows)
@@ -89,6 +90,10 @@ def _rank(df: DataFrame, column: str) -> Column | None:
     return None
 
 
+def _is_split_by_value(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.FractionalType, T.DecimalType))
+
+
 def _counted(rows: DataFrame, bucket: Column) -> list:
     return rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
 
@@ -135,18 +140,49 @@ def _split_texts(rows: DataFrame, column: str, low: str, high: str) -> tuple[lis
     return sorted(_counted(rows, head), key=lambda c: c.b.encode()), select
 
 
+def _split_values(rows: DataFrame, column: str) -> tuple[list, Callable[[list], DataFrame]]:
+    """Counts between and at quantiles, ascending, and the rows of neighbouring ones.
+
+    Quantiles are values of the column, found by a sketch; that they are rough does not matter, as counts are exact.
+    Each stands for itself, so a value that is very frequent ends up alone.
+    """
+    kind, value = rows.schema[column].dataType, quoted(column)
+    found = rows.agg(F.percentile_approx(value, [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).first()[0]
+    bounds = sorted(set(found))
+    literals = [F.lit(b).cast(kind) for b in bounds]
+    every = F.array(*literals)
+    below = F.size(F.filter(every, lambda b: b < value))
+    bucket = (below * 2 + F.exists(every, lambda b: b == value).cast("int")).cast("bigint")
+
+    def select(buckets: list) -> DataFrame:
+        first, last = min(c.b for c in buckets), max(c.b for c in buckets)
+        low, high = (first - 1) // 2, last // 2  # odd ones are bounds, even ones lie between two
+        wanted = F.lit(True)
+        if low >= 0:
+            wanted = wanted & (value >= literals[low] if first % 2 else value > literals[low])
+        if high < len(bounds):
+            wanted = wanted & (value <= literals[high] if last % 2 else value < literals[high])
+        return rows.where(wanted)
+
+    return sorted(_counted(rows, bucket)), select
+
+
 def _deep_page(df: DataFrame, order: list[Key], limit: int, offset: int, direct_rows: int) -> DataFrame:
     first, rest = order[0], order[1:]
     sort = [k.order() for k in order]
-    rank = _rank(df, first.column)
-    if rank is None:
+    kind, rank = df.schema[first.column].dataType, _rank(df, first.column)
+    by_value = rank is None and _is_split_by_value(kind)
+    if rank is None and not by_value:
         return df.orderBy(*sort).offset(offset).limit(limit)
-    low, high, count, present = df.agg(
-        F.min(rank), F.max(rank), F.count(F.lit(1)), F.count(quoted(first.column))
+    own = quoted(first.column)
+    odd = F.isnan(own) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False)  # greater than all numbers
+    rank = own if rank is None else rank
+    low, high, count, present, nans = df.agg(
+        F.min(F.when(~odd, rank)), F.max(F.when(~odd, rank)), F.count(F.lit(1)), F.count(own), F.count_if(odd)
     ).first()
     if offset >= count:
         return df.limit(0)
-    if low == high and present in (0, count):
+    if nans == count or (low == high and present in (0, count) and not nans):
         # One value holds more rows than can be skipped directly: go on with the next column.
         if rest:
             return page(df, rest, limit, offset, direct_rows)
@@ -156,7 +192,14 @@ def _deep_page(df: DataFrame, order: list[Key], limit: int, offset: int, direct_
         split = [Row(b=True, n=count - present), Row(b=False, n=present)]
 
         def select(buckets: list) -> DataFrame:
-            return df.where(quoted(first.column).isNull().isin([c.b for c in buckets]))
+            return df.where(own.isNull().isin([c.b for c in buckets]))
+    elif nans:
+        split = [Row(b=False, n=count - nans), Row(b=True, n=nans)]
+
+        def select(buckets: list) -> DataFrame:
+            return df.where(odd.isin([c.b for c in buckets]))
+    elif by_value:
+        split, select = _split_values(df, first.column)
     elif isinstance(low, str):
         split, select = _split_texts(df, first.column, low, high)
     else:
