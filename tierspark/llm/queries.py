@@ -14,7 +14,7 @@ from tierspark.llm.url_rules import ALLOW, BLOCK, PatternRule, PlaceRule
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
-# The place rules the query is asked for, and the hosts that sell what nobody should learn from.
+# The place rules the query is asked for, and words of hosts that sell what nobody should learn from.
 PLACES = (
     PlaceRule("org/", ALLOW),
     PlaceRule("example.org/es/", BLOCK),
@@ -22,18 +22,31 @@ PLACES = (
     PlaceRule("com/fr/", ALLOW),
     PlaceRule("com/de/", BLOCK),
 )
-PATTERNS = tuple(
-    PatternRule(f"^{name}^")
-    for name in (
-        "casino-win", "casino", "casinos", "free-bets", "bets", "betting", "bookmaker", "bookmakers", "sportsbook", "poker",
-        "blackjack", "roulette", "baccarat", "jackpot", "slot-machine", "slot-machines", "free-spins", "online-slots",
-        "cheap-pills", "diet-pills", "sleeping-pills", "buy-pills", "online-pharmacy", "cheap-meds", "no-prescription",
-        "viagra", "cialis", "levitra", "tramadol", "xanax", "oxycontin", "hydrocodone", "phentermine",
-        "adult-x", "adult-video", "adult-videos", "adult-dating", "adult-chat", "xxx", "porn", "porno", "sex-cam",
-        "sex-cams", "sex-chat", "sex-videos", "live-sex", "webcam-girls", "nude-girls", "escort-girls", "hentai",
-        "free-porn", "hookup", "hookups",
-    )
+GAMBLING = (
+    "baccarat bet betting bets bingo blackjack bookmaker bookmakers casino casinos craps freespins gamble gambling jackpot jackpots "
+    "keno lottery lotto poker roulette scratchcards slot slots sportsbook sportsbooks wager wagering"
+).split()
+DRUGS = (
+    "cialis fentanyl hydrocodone kamagra levitra meds modafinil oxycodone oxycontin pharmacy phentermine pill pills steroids tramadol "
+    "valium viagra vicodin xanax"
+).split()
+ADULT = "adult camgirls erotic erotica escort escorts hentai hookup hookups milf nsfw nude nudes porn porno sex sexcam webcams xxx".split()
+# A part of a host that is such a word, or begins or ends with it and a hyphen.
+HOST_FORMS = ("||{}^", "||{}-*^", "||*-{}^")
+# Pages that hold no text to learn from, or without end: log-ins, baskets, sessions, replies, calendars, adverts, feeds of actions.
+PAGES = (
+    "/login^", "/log-in^", "/signin^", "/sign-in^", "/signup^", "/sign-up^", "/logout^", "/register.php^", "/wp-login.php^", "/wp-admin/",
+    "/user/login^", "/account/login^", "/oauth/", "/password-reset^", "/forgot-password^", "/cart/", "/cart.php^", "/basket/", "/checkout/",
+    "/add-to-cart^", "^add-to-cart=", "/wishlist/", "/compare/add/", "/cgi-bin/", "/xmlrpc.php^", "/trackback/", "^replytocom=",
+    "^phpsessid=", "^jsessionid=", "^sessionid=", "^cfid=*^cftoken=", "^sid=*^sid=", "^share=*^nb=", "/print/*/print/", "^action=edit^",
+    "^action=history^", "^oldid=", "^diff=*^oldid=", "/special:*^returnto=", "/calendar/*/day/", "/calendar/*/week/", "^ical=",
+    "/events/*^tribe-bar-date=", "^tribe_event_display=", "/adserver/", "/adclick^", "/ads/click^", "/banner/click^", "^clickid=*^affid=",
+    "^affiliate_id=", "/affiliate/redirect^", "/out.php^url=", "/redirect.php^url=", "/goto.php^url=", "^gclid=*^adgroupid=", "/popunder^",
 )
+PATTERNS = tuple(
+    PatternRule(form)
+    for form in (*(form.format(word) for word in (*GAMBLING, *DRUGS, *ADULT) for form in HOST_FORMS), *PAGES)
+)
 
 
 def op1_top_k(spark: SparkSession, sf: str) -> DataFrame:

@@ -137,7 +137,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     # Each meeting of a chunk and a super-block is one group of bounded size. Chunks are numbered without gaps.
     n_chunks = chunks.count()
-    chunks = chunks.withColumn("chunk", (F.row_number().over(Window.orderBy("chunk")) - 1).cast("bigint"))
+    # Only the numbers, one per chunk, meet in one place; the vectors stay where they are.
+    place = (F.row_number().over(Window.orderBy("chunk")) - 1).cast("bigint").alias("place")
+    chunks = chunks.join(stored(chunks.select("chunk", place), "numbers"), "chunk").drop("chunk").withColumnRenamed("place", "chunk")
     if not n_chunks:
         blocks = blocks.limit(0)
     last = F.lit(max(0, n_chunks - 1)).cast("bigint")

@@ -22,6 +22,7 @@ from tierspark.llm.common import pick
 ALLOW, BLOCK = "allow", "block"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile("[a-z0-9]+")
+IN_HOST = r"^[^:/?#]*://(?:[^/?#]*\.)?"
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,10 @@ class PlaceRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A lower-case text to find in a URL: ``*`` is any run of characters, ``^`` an edge or no letter or digit."""
+    """A lower-case text to find in a URL: ``*`` is any run of characters, ``^`` an edge or no letter or digit.
+
+    One that begins with ``||`` fits only from the start of a part of the host on.
+    """
 
     pattern: str
     verdict: str = BLOCK
@@ -50,17 +54,21 @@ class PatternRule:
 
     def __post_init__(self) -> None:
         parts = {"*": ".*", "^": "(?:^|$|[^a-z0-9])"}
-        text = "".join(parts.get(c) or re.escape(c) for c in self.pattern)
-        object.__setattr__(self, "expression", re.compile(text, re.DOTALL))
+        text = "".join(parts.get(c) or re.escape(c) for c in self.pattern.removeprefix("||"))
+        object.__setattr__(self, "expression", re.compile(IN_HOST * self.in_host + text, re.DOTALL))
+
+    @property
+    def in_host(self) -> bool:
+        return self.pattern.startswith("||")
 
     @property
     def tokens(self) -> list[str]:
         """Tokens that every URL with this pattern has as a whole: both ends are fixed by the pattern."""
-        p = self.pattern
+        p = self.pattern.removeprefix("||")
         return [
             m[0]
             for m in TOKEN.finditer(p)
-            if m.start() > 0 and m.end() < len(p) and p[m.start() - 1] != "*" and p[m.end()] != "*"
+            if (m.start() > 0 or self.in_host) and m.end() < len(p) and p[m.start() - 1 : m.start()] != "*" and p[m.end()] != "*"
         ]
 
 
