@@ -341,4 +341,5 @@ ORACLES |= {
     "tier_counts_lake": ORACLES["tier_counts"],
     "page_summary_lake": ORACLES["page_summary"],
     "upsert_touched": ORACLES["upsert_merge"],
+    "named_view": ORACLES["tiered_read_three"],
 }

@@ -19,6 +19,7 @@ from tierspark.operators.ranges import read_ranges, upsert_touched, write_ranges
 from tierspark.operators.retention import prune, pruned_count
 from tierspark.operators.status import job_status
 from tierspark.operators.views import column_view, describe_result
+from tierspark.plans.named import create_view_function
 from tierspark.plans.paging import Key, page, page_summary, table_page, tiered_page
 from tierspark.plans.tiers import age_window, tier_counts, tier_coverage, tiered_read, time_range
 from tierspark.session import shared_folder, written
@@ -75,6 +76,12 @@ def q_tiered_read_three(spark, sf):
     return tiered_read(fx.three_tiers(spark, sf), fx.NOW)
 
 
+def q_named_view(spark, sf):
+    """The view by name, from SQL."""
+    create_view_function(spark, "events_combined", fx.three_tiers(spark, sf))
+    return spark.sql("SELECT * FROM events_combined(TIMESTAMP'2024-01-31 00:00:00Z')")
+
+
 def q_tiered_read_differing(spark, sf):
     """Tiers of different tables with the same events: each row must come from the table its time belongs to."""
     return tiered_read(fx.differing_tiers(spark, sf), fx.NOW)
