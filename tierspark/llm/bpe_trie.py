@@ -13,6 +13,7 @@ Compatible pairs are remembered.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -243,14 +244,17 @@ class Encoder:
         for spelled, word in sorted([(symbols(word), word) for word in words]):
             known[word] = as_bytes(trie.insert(spelled))
 
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The number of each (distinct) piece, new ones encoded now."""
+    def numbers(self, pieces: list[str], whole: list[bool] | None = None) -> np.ndarray:
+        """The number of each (distinct) piece, new ones encoded now. ``whole`` tells which are known to be one word."""
         if len(self._numbers) > MAX_PIECES:
             self.forget()
         if len(self._words) > MAX_WORDS:
             self._words = {}
         known, words = self._numbers, self._words
-        cut = {piece: self._piece_words(piece) for piece in pieces if piece not in known}
+        if whole is None:
+            cut = {piece: self._piece_words(piece) for piece in pieces if piece not in known}
+        else:
+            cut = {p: (p,) if one else self._piece_words(p) for p, one in zip(pieces, whole) if p not in known}
         self._learn_words({w for parts in cut.values() for w in parts if type(w) is str and w not in words})
         raw = [
             words[parts[0]] if len(parts) == 1 and type(parts[0]) is str
@@ -266,11 +270,22 @@ class Encoder:
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(numbers, offsets)``: the piece numbers of all texts, and where those of each text begin."""
+        # Nothing here refers to itself; Python's collector would only walk over all remembered pieces again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._cut(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         if self.vocabulary.end:
             lists = pc.ascii_split_whitespace(texts)
             coded = lists.flatten().dictionary_encode()
-            numbers = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            numbers = self.numbers(pieces)[coded.indices.to_numpy()]
             return numbers, lists.offsets.to_numpy().astype(np.int64)
         # A space belongs to what follows it. Where white space meets white space around a space, or none
         # can be cut off, the whole text is one piece.
@@ -285,8 +300,10 @@ class Encoder:
         firsts = flat.take(offsets[:-1]).to_pylist()
         for at in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             firsts[at] = texts[at].as_py()
-        spaced = [" " + piece for piece in coded.dictionary.to_pylist()]
-        found = self.numbers(spaced + firsts)
+        # Arrow's own strings are many times faster to make by way of numpy.
+        spaced = pc.binary_join_element_wise("", coded.dictionary, " ").to_numpy(zero_copy_only=False).tolist()
+        one_word = pc.ascii_is_alpha(coded.dictionary).to_pylist() + [False] * len(firsts)
+        found = self.numbers(spaced + firsts, one_word)
         numbers = found[: len(spaced)][coded.indices.to_numpy()]
         numbers[offsets[:-1]] = found[len(spaced) :]
         return numbers, offsets
