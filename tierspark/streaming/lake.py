@@ -58,9 +58,9 @@ def _block() -> Column:
 def write_positions(rows: DataFrame, table: str, stream: str, batch_id: int) -> None:
     """Note the positions of a batch that has been written, as runs of neighbouring offsets."""
     topic = F.col("_topic") if "_topic" in rows.columns else F.lit(None).cast("string")
-    places = rows.select(topic.alias("_topic"), "_partition", _block(), "_offset").distinct()
+    places = rows.select(topic.alias("_topic"), "_partition", _block(), "_offset")
     keys = ["_topic", "_partition", "_block"]
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_offset"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_offset"))  # one shuffle, also for the grouping
     runs = places.withColumn("_run", F.col("_offset") - number).groupBy(*keys, "_run")
     found = runs.agg(F.min("_offset").alias("_low"), F.max("_offset").alias("_high")).drop("_run")
     found.coalesce(1).write.mode("overwrite").parquet(f"{_runs_folder(table)}/stream={stream}/batch_id={batch_id}")
