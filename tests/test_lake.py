@@ -148,3 +148,39 @@ def test_pruned_lake_keeps_other_days_files(spark):
     # A reader of one day opens no file of another.
     plan = read_lake(spark, lake).where(F.col("day") == F.lit(date(2024, 1, 9)))
     assert {f.split("/day=")[1][:10] for f in plan.inputFiles()} <= {"2024-01-09"} or "PartitionFilters: [isnotnull(day" in plan._jdf.queryExecution().toString()
+
+
+def test_positions_are_noted_side_by_side(spark):
+    """Offsets without neighbours: no task holds all of a batch, and 64 offsets are one row of the notes."""
+    rows = spark.range(0, 400_000, 1, 8).selectExpr("CAST(id % 4 AS int) AS _partition", "id AS _offset")
+    kind = "_partition int, _offset bigint"
+    rows = rows.union(spark.createDataFrame([(None, 5), (0, None)], kind))
+    folder = lakes.shared_folder(spark, "lake")
+    tracker, group = spark.sparkContext.statusTracker(), "positions"
+    spark.sparkContext.setJobGroup(group, group)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lakes.write_positions(rows, folder, "one", 0)
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and min(stage.numTasks for stage in stages if stage) >= 4
+    assert spark.read.parquet(f"{folder}/_positions").count() == 4 * (400_000 // 64)
+    again = rows.union(spark.createDataFrame([(1, 0), (0, 400_000), (0, -4)], kind))
+    left = lakes.without_landed(again, folder, "two").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(None, 5), (0, None), (1, 0), (0, 400_000), (0, -4)]))
+
+
+def test_notes_of_before_are_still_read(spark):
+    """Runs of offsets, the form in which batches were noted before."""
+    folder = lakes.shared_folder(spark, "lake")
+    runs = [(None, 0, 0, 3, 200), (None, 0, 0, 255, 256), (None, 1, 0, 64, 127), (None, 1, 0, 9, 9)]
+    old = spark.createDataFrame(runs, "_topic string, _partition int, _block bigint, _low bigint, _high bigint")
+    old.write.parquet(f"{folder}/_positions/stream=one/batch_id=0")
+    rows = spark.range(300).selectExpr("explode(array(0, 1)) AS _partition", "id AS _offset")
+    lakes.write_positions(rows.where("_partition = 1 AND _offset = 10"), folder, "three", 0)
+    landed = {(p, n) for _, p, _, low, high in runs for n in range(low, high + 1)} | {(1, 10)}
+    left = {tuple(r) for r in lakes.without_landed(rows, folder, "two").collect()}
+    assert left == {(p, n) for p in (0, 1) for n in range(300)} - landed

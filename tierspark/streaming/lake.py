@@ -4,9 +4,9 @@ Layout: ``<lake>/day=<day>/stream=<query id>/batch_id=<n>/`` with the mapped col
 ``_partition`` and ``_offset`` (and ``_topic`` where messages have one); without days the outermost level is missing. Names that
 begin with an underscore are not seen by readers:
 
-* ``_positions/stream=<query id>/batch_id=<n>/`` holds the runs of offsets that a batch has taken in. It is written
-  last, so a batch that runs again and finds its own is done already, wherever its rows are by now; a
-  stream with a new checkpoint leaves out what the runs of other streams hold.
+* ``_positions/stream=<query id>/batch_id=<n>/`` notes the offsets that a batch has taken in, 64 neighbours in the bits of one
+  number. It is written last, so a batch that runs again and finds its own is done already, wherever its rows are by
+  now; a stream with a new checkpoint leaves out what other streams have noted. Older notes hold runs of offsets instead.
 * ``_replacing-<id>/`` holds the new files of days that are merged or pruned. Once it is complete, the files they stand for
   are removed and the new ones moved in; if that is cut short, the next merge or prune finishes it first.
 """
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from tierspark.functions.names import quoted
 from tierspark.functions.times import in_utc, utc_day
 from tierspark.operators.retention import expired, prune
-from tierspark.session import shared_folder, written
+from tierspark.session import is_small, shared_folder, written
 from tierspark.sources import folders
 
 LEVELS = ["day", "stream", "batch_id"]
-# What tells messages apart. Offsets are looked up in blocks of 2^16, so that one partition is many keys.
-PLACE, BLOCK_BITS = ("_topic", "_partition", "_offset"), 16
-RUNS = "_topic string, _partition int, _block bigint, _low bigint, _high bigint, stream string, batch_id bigint"
+# What tells messages apart. Offsets are noted and looked up by words of 2^6, so that one partition is many keys.
+PLACE, WORD_BITS = ("_topic", "_partition", "_offset"), 6
+NOTES = "_topic string, _partition int, _word bigint, _bits bigint, _low bigint, _high bigint, stream string, batch_id bigint"
 UNTIMED = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder of rows without a day
 
 
@@ -43,7 +43,7 @@ def write_batch(rows: DataFrame, lake: str, stream: str, batch_id: int, day_of:
     rows.write.partitionBy(*levels).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(lake)
 
 
-def _runs_folder(table: str) -> str:
+def _notes_folder(table: str) -> str:
     return f"{table.rstrip('/')}/_positions"
 
 
@@ -51,38 +51,54 @@ def has_positions(rows: DataFrame) -> bool:
     return "_partition" in rows.columns and "_offset" in rows.columns
 
 
-def _block() -> Column:
-    return F.shiftright("_offset", BLOCK_BITS).alias("_block")
+def _topic(rows: DataFrame) -> Column:
+    return F.col("_topic") if "_topic" in rows.columns else F.lit(None).cast("string")
 
 
 def write_positions(rows: DataFrame, table: str, stream: str, batch_id: int) -> None:
-    """Note the positions of a batch that has been written, as runs of neighbouring offsets."""
-    topic = F.col("_topic") if "_topic" in rows.columns else F.lit(None).cast("string")
-    places = rows.select(topic.alias("_topic"), "_partition", _block(), "_offset")
-    keys = ["_topic", "_partition", "_block"]
-    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_offset"))  # one shuffle, also for the grouping
-    runs = places.withColumn("_run", F.col("_offset") - number).groupBy(*keys, "_run")
-    found = runs.agg(F.min("_offset").alias("_low"), F.max("_offset").alias("_high")).drop("_run")
-    found.coalesce(1).write.mode("overwrite").parquet(f"{_runs_folder(table)}/stream={stream}/batch_id={batch_id}")
+    """Note the positions of a batch that has been written.
+
+    Each task adds up the bits of its own rows, and the words are added up where the shuffle brings them together. They
+    are few next to the rows, and go into as few files as their size asks for.
+    """
+    placed = rows.where("_partition IS NOT NULL AND _offset IS NOT NULL")
+    placed = placed.select(_topic(rows).alias("_topic"), "_partition", F.shiftright("_offset", WORD_BITS).alias("_word"), _bit().alias("_bit"))
+    found = placed.groupBy("_topic", "_partition", "_word").agg(F.bit_or("_bit").alias("_bits"))
+    found.hint("rebalance").write.mode("overwrite").parquet(f"{_notes_folder(table)}/stream={stream}/batch_id={batch_id}")
+
+
+def _bit() -> Column:
+    """The bit of an offset in its word."""
+    return F.expr(f"shiftleft(1L, CAST(_offset & {(1 << WORD_BITS) - 1} AS int))")
 
 
 def is_landed(spark: SparkSession, table: str, stream: str, batch_id: int) -> bool:
     """Whether a batch was written to its end before."""
-    return folders.exists(spark, f"{_runs_folder(table)}/stream={stream}/batch_id={batch_id}/_SUCCESS")
+    return folders.exists(spark, f"{_notes_folder(table)}/stream={stream}/batch_id={batch_id}/_SUCCESS")
+
+
+def _words(notes: DataFrame) -> DataFrame:
+    """Notes as words; a run of offsets, as older notes have it, is all the words it reaches into."""
+    last = (1 << WORD_BITS) - 1
+    reached = F.expr(f"sequence(shiftright(_low, {WORD_BITS}), shiftright(_high, {WORD_BITS}))")
+    words = notes.withColumn("_word", F.explode(F.when(F.col("_low").isNull(), F.array("_word")).otherwise(reached)))
+    from_low = F.expr(f"IF(_word = shiftright(_low, {WORD_BITS}), shiftleft(-1L, CAST(_low & {last} AS int)), -1L)")
+    upto_high = F.expr(f"IF(_word = shiftright(_high, {WORD_BITS}), shiftrightunsigned(-1L, CAST({last} - (_high & {last}) AS int)), -1L)")
+    return words.withColumn("_bits", F.coalesce("_bits", from_low.bitwiseAND(upto_high)))
 
 
 def without_landed(rows: DataFrame, table: str, stream: str) -> DataFrame:
     """The rows of messages that no other stream has landed in ``table``."""
-    spark, folder = rows.sparkSession, _runs_folder(table)
+    spark, folder = rows.sparkSession, _notes_folder(table)
     others = [name for name in folders.names_in(spark, folder) if name.startswith("stream=") and name != f"stream={stream}"]
     if not others:
         return rows
-    runs = spark.read.schema(RUNS).parquet(folder).where(F.col("stream") != stream)
-    runs = runs.select(*[F.col(c).alias(f"{c}_") for c in ("_topic", "_partition", "_block", "_low", "_high")])
-    topic = F.col("_topic") if "_topic" in rows.columns else F.lit(None).cast("string")
-    same = topic.eqNullSafe(F.col("_topic_")) & (F.col("_partition") == F.col("_partition_"))
-    inside = (F.shiftright("_offset", BLOCK_BITS) == F.col("_block_")) & F.col("_offset").between(F.col("_low_"), F.col("_high_"))
-    return rows.join(runs, same & inside, "left_anti")
+    words = _words(spark.read.schema(NOTES).parquet(folder).where(F.col("stream") != stream))
+    words = words.select(*[F.col(c).alias(f"{c}_") for c in ("_topic", "_partition", "_word", "_bits")])
+    words = words if is_small(words) else words.hint("merge")
+    same = _topic(rows).eqNullSafe(F.col("_topic_")) & (F.col("_partition") == F.col("_partition_"))
+    inside = (F.shiftright("_offset", WORD_BITS) == F.col("_word_")) & (F.col("_bits_").bitwiseAND(_bit()) != 0)
+    return rows.join(words, same & inside, "left_anti")
 
 
 def lake_files(spark: SparkSession, lake: str) -> DataFrame:
