@@ -184,3 +184,17 @@ def test_notes_of_before_are_still_read(spark):
     landed = {(p, n) for _, p, _, low, high in runs for n in range(low, high + 1)} | {(1, 10)}
     left = {tuple(r) for r in lakes.without_landed(rows, folder, "two").collect()}
     assert left == {(p, n) for p in (0, 1) for n in range(300)} - landed
+
+
+def test_a_batch_of_one_file_is_parsed_by_all_cores(spark, tmp_path):
+    """The rows come back together by day, one file each."""
+    want = fill(spark, tmp_path, 1)
+    query = topic_to_lake(
+        read_message_files(spark, str(tmp_path / "topic"), max_files=1), MAPPING, str(tmp_path / "lake"), str(tmp_path / "c"),
+        rejects=str(tmp_path / "rejects"), day_of="at", drain=True,
+    )
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert max(stage.numTasks for stage in stages if stage) >= spark.sparkContext.defaultParallelism
+    assert held(spark, str(tmp_path / "lake")) == want and len(files(spark, str(tmp_path / "lake"))) == 3

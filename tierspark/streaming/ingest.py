@@ -14,7 +14,7 @@ from tierspark.operators.changes import final_changes, latest_per_key
 from tierspark.operators.mapping import Mapping, accepted, map_messages, rejected
 from tierspark.functions.times import utc_day
 from tierspark.streaming.keyed_log import ORDER, append_batch, batch_folder, feed_changes, message_changes
-from tierspark.streaming.lake import PLACE, has_positions, is_landed, without_landed, write_batch, write_positions
+from tierspark.streaming.lake import PLACE, is_landed, without_landed, write_batch, write_positions
 from tierspark.streaming.sinks import create_lake_statement
 
 # Applies one batch to a table that can be changed in place, such as those of
@@ -72,6 +72,12 @@ def _mapped_batches(
     return mapped, each
 
 
+def _dealt(messages: DataFrame) -> DataFrame:
+    """Messages over all cores by their positions: a file with one row group is one task, and parsing takes most of the time."""
+    places = [c for c in ("topic", "partition", "offset") if c in messages.columns]
+    return messages.repartition(messages.sparkSession.sparkContext.defaultParallelism, *places)
+
+
 def topic_to_lake(
     messages: DataFrame,
     mapping: Mapping,
@@ -95,11 +101,14 @@ def topic_to_lake(
 
     ``day_of`` names a time column by whose day the files are partitioned, for readers that ask for a time
     window, and for :mod:`tierspark.streaming.lake`. ``rebalance`` evens out file sizes at the price of a
-    shuffle; days with very many rows are split.
+    shuffle; days with very many rows are split. Messages with positions are dealt out to all cores before they are
+    parsed, since a batch may come in one file, and their rows are always rebalanced.
     """
 
     spark = messages.sparkSession
     stream_id = _stream_id(spark, checkpoint)
+    once = format != "delta" and {"partition", "offset"} <= set(messages.columns)
+    rebalance = rebalance or once
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows = rows.select(*mapping.columns, *[c for c in PLACE if c in rows.columns])
@@ -115,23 +124,24 @@ def topic_to_lake(
         out = rows.write.format(format).option("txnAppId", checkpoint).option("txnVersion", batch_id)
         (out.partitionBy("day") if day_of else out).mode("append").save(lake)
 
-    mapped = map_messages(messages, mapping)
+    mapped = map_messages(_dealt(messages) if once else messages, mapping)
     mapped = mapped if rejects else mapped.where("reject_reason IS NULL")
-    once = format != "delta" and has_positions(mapped)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if once and is_landed(spark, lake, stream_id(), batch_id):
             return
-        batch = without_landed(batch, lake, stream_id()) if once else batch
-        batch = batch.persist() if once or rejects else batch
+        # Held before it is compared with the lake's notes: what reads from the lake is dropped, and parsed again, at each write to it.
+        held = batch.persist() if once or rejects else batch
         try:
+            batch = without_landed(held, lake, stream_id()) if once else held
             write(accepted(batch, mapping), batch_id)
             if rejects:
-                rejected(batch).write.mode("overwrite").parquet(batch_folder(rejects, stream_id(), batch_id))
+                bad = rejected(batch).hint("rebalance") if once else rejected(batch)
+                bad.write.mode("overwrite").parquet(batch_folder(rejects, stream_id(), batch_id))
             if once:
                 write_positions(batch, lake, stream_id(), batch_id)
         finally:
-            batch.unpersist()
+            held.unpersist()
 
     return _start(mapped, each, checkpoint, drain, interval, name)
 
