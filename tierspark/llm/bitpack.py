@@ -36,6 +36,8 @@ from tierspark.llm.common import pick, shared_folder, sliced, stored
 BLOCK = 4096
 SEGMENT = 1 << 18
 DOCS_PER_SHARD = 1 << 14
+# A shard has more distinct pieces than a worker remembers; their words are kept from one shard to the next.
+KEPT_WORDS = 600_000
 
 COLUMNS = (
     "shard int, segment int, first bigint, n_ids bigint, width int, block int, "
@@ -109,7 +111,7 @@ def write_ids(
         )
         shard, first, segment = TaskContext.get().partitionId(), 0, 0
         for batch in sliced(batches, 1):
-            coder = encoder(path, library=True)
+            coder = encoder(path, library=True, keep=KEPT_WORDS)
             width = width_of(max(coder.vocabulary.size, end_id + 1))
             found, offsets = coder.encode(batch.column(1))
             ids = np.insert(found, offsets[1:], np.uint32(end_id))
@@ -124,7 +126,7 @@ def write_ids(
                 row = [shard, segment, first, len(part), width, BLOCK, blocks, keys[at:upto], starts, payload]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
                 first, segment, at = first + len(part), segment + 1, upto
-        encoder(path, library=True).forget(words=False)  # the next task need not learn the same words again
+        encoder(path, library=True, keep=KEPT_WORDS).forget(words=False)  # the next task need not learn the same words again
 
     dealt = rows.repartitionByRange(shards, F.col("_key").asc_nulls_first()).sortWithinPartitions(
         F.col("_key").asc_nulls_first(), F.xxhash64("_text")

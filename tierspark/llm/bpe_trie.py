@@ -188,10 +188,12 @@ class Encoder:
 
     A piece is what stands between spaces: every tokenizer rule for words stops at white space. The pieces
     of a batch are found and numbered by Arrow; only the distinct ones reach Python. With ``library`` the
-    words of new pieces are encoded by the tokenizers library's model, else by the trie.
+    words of new pieces are encoded by the tokenizers library's model, else by the trie. ``keep`` is how many words
+    may outlive the pieces they were found in; without it they go together.
     """
 
-    def __init__(self, path: str, library: bool = False):
+    def __init__(self, path: str, library: bool = False, keep: int = 0):
+        self._keep = keep
         self.vocabulary = Vocabulary(path)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")")
         self._model = Tokenizer.from_file(path).model if library else None
@@ -247,8 +249,8 @@ class Encoder:
     def numbers(self, pieces: list[str], whole: list[bool] | None = None) -> np.ndarray:
         """The number of each (distinct) piece, new ones encoded now. ``whole`` tells which are known to be one word."""
         if len(self._numbers) > MAX_PIECES:
-            self.forget()
-        if len(self._words) > MAX_WORDS:
+            self.forget(words=not self._keep)
+        if len(self._words) > (self._keep or MAX_WORDS):
             self._words = {}
         known, words = self._numbers, self._words
         if whole is None:
@@ -328,9 +330,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, library: bool = False) -> Encoder:
+def encoder(path: str, library: bool = False, keep: int = 0) -> Encoder:
     """One encoder per worker and file."""
-    return Encoder(path, library)
+    return Encoder(path, library, keep)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", library: bool = False) -> DataFrame:
